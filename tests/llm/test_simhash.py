@@ -1,0 +1,106 @@
+import random
+
+import xxhash
+
+from tidemark.llm import simhash
+from tidemark.llm.components import components
+
+BREAK = " \t\n\r\x0b\x0c"
+
+
+def brute_fingerprint(text, width=4):
+    text = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    for c in BREAK:
+        text = text.replace(c, " ")
+    words = [w for w in text.split(" ") if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))]
+    h = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << p for p in range(64) if 2 * sum(x >> p & 1 for x in h) > len(h))
+
+
+def brute_components(items, linked):
+    parent = list(range(len(items)))
+
+    def top(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for a in range(len(items)):
+        for b in range(a):
+            if linked(items[a], items[b]):
+                parent[top(a)] = top(b)
+    return [top(k) for k in range(len(items))]
+
+
+def test_masks_cover_every_pair_within_the_radius():
+    rng = random.Random(1)
+    masks = simhash.covering_masks(4)
+    assert len(masks) == 31
+    for _ in range(3000):
+        x = sum(1 << p for p in rng.sample(range(64), rng.randint(0, 4)))
+        assert any(x & m == 0 for m in masks)
+
+
+def corpus():
+    rng = random.Random(7)
+    words = [a + b for a in "bcdfgh" for b in ("a", "é", "OU", "in")]
+    texts = [" ".join(rng.choices(words, k=rng.randint(0, 300))) for _ in range(60)]
+    for k in range(0, 50, 2):
+        w = texts[k].split()
+        for _ in range(rng.randint(1, 3)):
+            if w:
+                w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(rng.choice(BREAK).join(w))
+    return texts + [None, "", " \n", "one", "ONE", "a b c", "a b c d e", texts[3], texts[3]]
+
+
+def check(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp string, component_id string")
+    got = simhash.near_duplicates(docs).collect()
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    tops = brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+    least = {}
+    for r, t in zip(rows, tops, strict=True):
+        if r[0] is not None:
+            least[t] = min(least.get(t, r[0]), r[0])
+    want = sorted((str(r[0]), simhash.signed(p), least.get(t)) for r, p, t in zip(rows, prints, tops, strict=True))
+    assert sorted((str(r.doc_id), r.fp, r.component_id) for r in got) == want
+
+
+def test_equals_brute_force(spark):
+    texts = corpus()
+    rows = [(1000 - k, t, "x", "y") for k, t in enumerate(texts)] + [(None, texts[0], None, None), (5, "repeat me", "", ""), (5, "repeat me", "", "")]
+    check(spark, rows)
+
+
+def test_large_buckets_are_compared_block_by_block(spark):
+    rng = random.Random(2)
+    fps = list({0, *(sum(1 << p for p in rng.sample(range(20), rng.randint(0, 9))) for _ in range(300))})
+    nodes = spark.createDataFrame([(simhash.signed(x),) for x in fps], "fp long")
+    tops = brute_components(fps, lambda a, b: (a ^ b).bit_count() <= 4)
+    for block in (16, 1024):
+        found = {r.node: r.component for r in components(simhash.links(nodes, 4, block)).collect()}
+        groups = lambda of: {frozenset(x for x, t in zip(fps, of, strict=True) if t == y) for y in set(of)}
+        assert groups([found.get(x, x) for x in fps]) == groups(tops)
+
+
+def test_empty_table_and_one_row(spark):
+    check(spark, [])
+    check(spark, [(1, "a b c d e", None, None)])
+
+
+def test_one_document_of_each_group_stays(spark):
+    text = " ".join(f"w{k}" for k in range(200))
+    rows = [(4, text, "a"), (2, text + " more", "b"), (9, "something else", None), (9, "something else", None)]
+    got = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert got.columns == ["doc_id", "text", "lang"]
+    assert sorted(r.doc_id for r in got.collect()) == [2, 9]
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(None, 3), (7, None), (9, 9), (100, 101)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 160)}}

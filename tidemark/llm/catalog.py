@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe
+from tidemark.llm import bpe, simhash
 
 
 def queries() -> dict:
-    return {"op10_byte_bpe": bpe.op10_byte_bpe}
+    return {
+        "op3_simhash": simhash.op3_simhash,
+        "op10_byte_bpe": bpe.op10_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
