@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, simhash
+from tidemark.llm import bpe, quality_rules, simhash, url_filters
 
 
 def queries() -> dict:
     return {
         "op3_simhash": simhash.op3_simhash,
+        "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op7_url_filters": url_filters.op7_url_filters,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_url_filters": url_filters.SQL}
