@@ -1,0 +1,56 @@
+import duckdb
+
+from tidemark.llm import url_filters as u
+
+
+def page(link="", refresh=""):
+    head = f'<link rel="canonical" href="{link}">' if link else ""
+    head += f'<meta http-equiv="refresh" content="0; url={refresh}">' if refresh else ""
+    return f"<html><head>{head}</head><body><p>x</p></body></html>"
+
+
+ROWS = [
+    (1, "http://A.Example.COM/en/1?x#y", page()),
+    (2, "https://www.example.com/en/", page()),
+    (3, "https://www.example.com/EN/", page()),
+    (4, "http://x.net/es/1", page()),
+    (5, "http://net/fr/", None),
+    (6, "http://notexample.com/en/", page()),
+    (7, "http://example.com", page()),
+    (8, None, page()),
+    (9, "no scheme", page()),
+    (10, "http://mirror.org/a#f", page("http://x.net/es/1")),
+    (11, "http://second.org/b?q=1&r=2", page(refresh="http://mirror.org/a")),
+    (12, "http://third.org/c", page("//second.org/b?q=1&amp;r=2")),
+    (13, "http://mixed.org/", page("http://z.net/fr/1", "http://z.com/")),
+    (14, "http://own.org/", page("/other")),
+    (15, "http://own.org/other", page()),
+    (16, "", ""),
+    (10, "http://mirror.org/a#f", page("http://x.net/es/1")),
+    (None, "http://k.net/es/\n?", page()),
+    (18, "http://chain.org/0", page("http://chain.org/1")),
+    *[(20 + k, f"http://chain.org/{k}", page(f"http://chain.org/{k + 1}")) for k in range(1, 12)],
+    (50, "http://end.net/es/", page("http://chain.org/12")),
+]
+WANT = {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "block", 11: "block", 12: "block", 13: "allow", 14: "allow", 15: "allow", 16: "allow", 18: "block", 50: "block", None: "block"}
+
+
+def test_verdicts_and_sql(spark):
+    pages = spark.createDataFrame([(*r, "h") for r in ROWS], "page_id long, url string, html string, host string")
+    got = u.judge(pages).collect()
+    found = {r.page_id: r for r in got}
+    assert {k: found[k].verdict for k in WANT} == WANT and all(found[20 + k].verdict == "block" for k in range(1, 12))
+    assert found[1].asDict() == {"page_id": 1, "host": "a.example.com", "path": "/en/1", "rule": "example.com/en/", "verdict": "block"}
+    assert (found[8].host, found[8].path, found[8].rule) == ("", "", None) and found[7].rule is None
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", [list(r) for r in ROWS])
+    key = lambda r: tuple(map(str, r))
+    assert sorted(map(tuple, got), key=key) == sorted(con.sql(u.SQL).fetchall(), key=key)
+
+
+def test_given_edges_and_an_empty_table(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/", None), (2, "http://b.net/es/", None)], "page_id long, url string, html string")
+    edges = spark.createDataFrame([("http://a.org/", "http://b.net/es/"), (None, "x")], "a string, b string")
+    assert {r.page_id: r.verdict for r in u.judge(pages, edges=edges).collect()} == {1: "block", 2: "block"}
+    assert u.judge(pages.limit(0)).count() == 0
