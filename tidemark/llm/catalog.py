@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, quality_rules, simhash, url_filters
+from tidemark.llm import bpe, language_id, quality_knn, quality_rules, simhash, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,8 @@ def queries() -> dict:
         "op3_simhash": simhash.op3_simhash,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_url_filters": url_filters.op7_url_filters,
+        "op8_language_id": language_id.op8_language_id,
+        "op9_quality_knn": quality_knn.op9_quality_knn,
         "op10_byte_bpe": bpe.op10_byte_bpe,
     }
 
