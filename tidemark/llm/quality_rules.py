@@ -78,7 +78,9 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
         "upper_rate": F.col("_upper") / F.greatest("word_chars", F.lit(1)),
         "distinct_rate": F.col("_distinct") / many,
     }
-    return out.select(*kept, *BASE, *[x.cast("double").alias(c) for c, x in rates.items()])
+    made_here = F.struct(*BASE, *[x.cast("double").alias(c) for c, x in rates.items()])
+    # A generator, so that a filter on these columns isn't pushed below the arrays and makes them anew for each element.
+    return out.select(*kept, F.inline(F.array(made_here)))
 
 
 @dataclass(frozen=True)
