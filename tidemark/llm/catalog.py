@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, language_id, quality_knn, quality_rules, simhash, url_filters
+from tidemark.llm import bpe, language_id, quality_knn, quality_rules, simhash, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
+        "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_url_filters": url_filters.op7_url_filters,
