@@ -44,7 +44,7 @@ def test_shared_weights_order_three_grades():
     rows, grades = [], []
     for _ in range(600):
         level = rng.integers(0, 3)
-        rows.append((np.array([0, 1 + rng.integers(0, 20)]), np.array([level + rng.normal(0, 0.3), 1.0], dtype=np.float32)))
+        rows.append((np.array([0, 1 + rng.integers(0, 20)]), np.array([level + rng.normal(0, 0.3), rng.integers(0, 2)], dtype=np.float32)))
         grades.append(level)
     w, theta = tx.cumulative_link(rows, np.array(grades), 21, 2)
     p = tx.grade_probabilities(np.array([0.0, 1.0, 2.0]) * w[0], theta)

@@ -78,7 +78,7 @@ def cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarra
     back = lambda g: np.bincount(at, weights=v * g[own], minlength=size)
     u = np.random.default_rng(3).standard_normal(size)
     for _ in range(12):
-        u = back(apply(u / np.linalg.norm(u)))
+        u = back(apply(u / max(np.linalg.norm(u), 1e-12)))
     bound = 0.5 * np.linalg.norm(u) / n + l2
     shares = np.clip(np.array([(grades <= k).mean() for k in range(top)]), 1e-4, 1 - 1e-4)
     theta = np.maximum.accumulate(np.log(shares / (1 - shares)) + np.arange(top) * 1e-3)
