@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, language_id, quality_knn, quality_rules, simhash, toxicity, url_filters
+from tidemark.llm import bpe, decontaminate, html_text, language_id, quality_knn, quality_rules, simhash, toxicity, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_decontaminate": decontaminate.op4_decontaminate,
+        "op5_html_text": html_text.op5_html_text,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_language_id": language_id.op8_language_id,
