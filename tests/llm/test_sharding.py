@@ -1,0 +1,67 @@
+import threading
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+from tidemark.llm import sharding as sh
+
+
+def store(spark, tmp_path, **more):
+    return sh.ShardStore(spark, f"file://{tmp_path}/store", **{"target": 200_000, "smallest": 2000, "fanout": 4, **more})
+
+
+def rows(spark, start, n, parts):
+    return spark.range(start, start + n, 1, parts).select("id", F.sha2(F.col("id").cast("string"), 512).alias("text"))
+
+
+def everything(s):
+    return sorted(r.id for r in s.read().collect())
+
+
+def test_appends_and_compaction_keep_every_row(spark, tmp_path):
+    s = store(spark, tmp_path)
+    for k in range(6):
+        assert s.append(rows(spark, 1000 * k, 1000 if k else 9000, 3), f"a{k}") == k + 1
+    before = {r.file: r.bytes for r in s.manifest().collect()}
+    want = sorted([*range(9000), *range(1000, 6000)])
+    assert len(before) == 18 and everything(s) == want
+    last = s.compact()
+    after = s.manifest().collect()
+    assert last > 6 and everything(s) == want and sum(r.rows for r in after) == len(want)
+    assert len(after) < 18 and max(r.bytes for r in after) < 2.5 * s.target
+    tiers = [r.tier for r in s.manifest().withColumn("tier", s.tier()).where("tier is not null").groupBy("tier").count().collect() if r["count"] >= s.fanout]
+    assert tiers == []
+    assert everything(s) == sorted(r.id for r in s.read(6).collect())  # an old version is still whole
+    assert s.vacuum() > 0 and s.versions() == [last] and everything(s) == want
+
+
+def test_a_version_is_committed_once(spark, tmp_path):
+    s = store(spark, tmp_path)
+    s.append(rows(spark, 0, 10, 1), "a")
+    with pytest.raises(sh.VersionTaken):
+        s.commit(s.manifest(), 1)
+    assert s.versions() == [1] and everything(s) == list(range(10))
+    threads = [threading.Thread(target=s.append, args=(rows(spark, 100 * k, 10, 1), str(k))) for k in (1, 2, 3)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert s.versions() == [1, 2, 3, 4] and len(everything(s)) == 40
+
+
+def test_empty_arrivals_and_an_empty_store(spark, tmp_path):
+    s = store(spark, tmp_path)
+    assert s.manifest() is None and s.compact() == 0 and s.vacuum() == 0
+    s.append(rows(spark, 0, 0, 2), "none")
+    assert not s.compact_once() and s.manifest().agg(F.sum("rows")).first()[0] in (None, 0)
+
+
+def test_query_equals_sql(spark, tmp_path):
+    data = [(k, "é" * (k % 7), "t") for k in range(100)] + [(None, "x", None), (3, None, ""), (3, None, ""), (-5, "", "")]
+    spark.createDataFrame(data, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/in/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/in/documents.parquet/*.parquet')")
+    key = lambda r: tuple(map(str, r))
+    got = sh.op1_sharding(spark, f"{tmp_path}/in").collect()
+    assert sorted(map(tuple, got), key=key) == sorted(con.sql(sh.SQL).fetchall(), key=key)
+    spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert sh.op1_sharding(spark, f"{tmp_path}/none").count() == 0

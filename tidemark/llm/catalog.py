@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tidemark.llm import bpe, decontaminate, html_text, language_id, quality_knn, quality_rules, simhash, toxicity, url_filters
+from tidemark.llm import bpe, decontaminate, html_text, language_id, quality_knn, quality_rules, sharding, simhash, toxicity, url_filters
 
 
 def queries() -> dict:
     return {
+        "op1_sharding": sharding.op1_sharding,
         "op2_toxicity": toxicity.op2_toxicity,
         "op3_simhash": simhash.op3_simhash,
         "op4_decontaminate": decontaminate.op4_decontaminate,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": url_filters.SQL}
+    return {"op1_sharding": sharding.SQL, "op7_url_filters": url_filters.SQL}
