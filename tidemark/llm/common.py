@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are maximal runs of anything but space and the controls 9 to 13.
@@ -44,3 +46,14 @@ def cut(df: DataFrame) -> DataFrame:
     """The same rows from a reliable checkpoint, so that a lost executor costs a read and not a recomputation."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def keep_rows(docs: DataFrame, text: str, made: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows of docs whose text passes, whatever their other columns. made() gives a task its test of many texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        test = made()
+        for batch in batches:
+            yield batch.filter(pa.array(test(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
