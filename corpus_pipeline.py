@@ -1,18 +1,53 @@
-"""The corpus pipeline: toxicity, quality rules, near-duplicates, decontamination, tokens."""
+"""The corpus pipeline: toxicity, quality rules, near-duplicates, decontamination, tokens.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept, and drops what it rejects; all but
+the last return the columns of documents. Models are fitted on the labels of the documents that are still there.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import bpe, decontaminate, quality_rules, simhash, toxicity
+from tidemark.llm.common import scratch, table
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which a grade above 0 isn't likelier than not."""
+    return toxicity.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the learned decision list."""
+    return quality_rules.kept(docs, table(spark, sf_dir, "labels"))
+
+
+def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-duplicates, by fingerprints of five-word shingles."""
+    return simhash.first_of_each(docs, width=5)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that give no item of the benchmark away."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, token_ids and decoded_sha256 of every document left."""
+    both = bpe.round_trip(docs.select("doc_id", "text"), public_tokenizers.path(bpe.RANKS))
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"), "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
-from tidemark.llm.common import scratch
 
-STAGES: list = []
+STAGES = [("toxicity", not_toxic), ("quality_rules", good_quality), ("simhash", first_copies), ("decontamination", uncontaminated), ("byte_bpe", tokens)]
+#: Models and components are beyond SQL; tests/llm/test_pipeline.py checks each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES applied to documents, each result written as Parquet and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import keep_rows, table
 from tidemark.llm.features import share_of
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -182,13 +182,13 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, grade: str
     return fit_rows(rows, grades, max(1, int(grades.max())))
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """docs with severity (expected grade), p_toxic (that of any grade but 0) and toxic (p_toxic of a half or more).
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """docs without the text, with severity (expected grade), p_toxic (that of any grade but 0) and toxic (p_toxic of a half or more).
 
     A null text counts as empty, whose severity is that of no evidence. Columns of these names are replaced.
     """
     made = ("severity", "p_toxic", "toxic")
-    kept = [c for c in docs.columns if c not in made and (keep_text or c != text)]
+    kept = [c for c in docs.columns if c not in made and c != text]
     schema = T.StructType([*(docs.schema[c] for c in kept), T.StructField("severity", T.DoubleType(), False), T.StructField("p_toxic", T.DoubleType(), False), T.StructField("toxic", T.BooleanType(), False)])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most the features of MAX_LABELLED sampled texts
 
@@ -201,7 +201,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = F
             more = [pa.array(severity), pa.array(any_grade), pa.array(any_grade >= 0.5)]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *more], names=[*kept, *made])
 
-    return docs.select(*(c for c in docs.columns if c in kept or c == text)).mapInArrow(run, schema)
+    return docs.select(*kept, text).mapInArrow(run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,5 +212,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not toxic, with the columns of docs."""
-    named = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    return score(named, fit(docs, labels)).where(~F.col("toxic")).select("row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    def made() -> Callable[[list[str | None]], list[bool]]:
+        weigher, thresholds = Weigher(shared.value.weights), shared.value.thresholds
+        return lambda texts: (grade_probabilities(np.array([weigher.total(x or "") for x in texts], dtype=float), thresholds)[:, 0] > 0.5).tolist()
+
+    return keep_rows(docs, "text", made)
