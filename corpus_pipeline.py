@@ -25,8 +25,8 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near-duplicates, by fingerprints of five-word shingles."""
-    return simhash.first_of_each(docs, width=5)
+    """One document of each component of those whose sets of five-word shingles have a similarity of 0.8 or more."""
+    return simhash.first_of_each(docs, width=5, similarity=0.8)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import xxhash
 
 from tidemark.llm import simhash
@@ -104,3 +105,56 @@ def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(None, 3), (7, None), (9, 9), (100, 101)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 160)}}
+
+
+def shingles(text, width=5):
+    words = (text or "").lower().split()
+    return {" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
+
+
+def test_similar_documents_equal_brute_force(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(900)] + ["the", "of", "and"] * 40
+    texts = [" ".join(rng.choices(words, k=rng.randint(60, 500))) for _ in range(60)]
+    for k in range(200):
+        w = texts[rng.randrange(len(texts))].split()
+        for _ in range(rng.choice([0, 1, len(w) // 100, len(w) // 50, len(w) // 8])):
+            w[rng.randrange(len(w))] = rng.choice(words)
+        texts.append(rng.choice(BREAK).join(w))
+    texts += [None, "", "  ", "a b", "A b", "a b c"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b, least: a == b or len(a & b) >= least * len(a | b) > 0
+    # what is surely similar is joined, what is surely not is apart; a sketch has an error of some hundredths between
+    sure = brute_components(sets, lambda a, b: alike(a, b, 0.87))
+    loose = brute_components(sets, lambda a, b: alike(a, b, 0.72))
+    assert all(got[k] == got[t] for k, t in enumerate(sure))
+    assert all(loose[k] == loose[t] for k, t in got.items())
+    assert len(set(sure)) > 60 and len(set(loose)) < len(texts) - 100
+    assert got[texts.index("a b")] == got[texts.index("A b")] != got[texts.index("a b c")] and len({got[k] for k, t in enumerate(texts) if not (t or "").strip()}) == 1
+
+
+def test_spanning_trees_connect_what_near_pairs_connect():
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        base = rng.integers(0, 2**63, size=(5, 3), dtype=np.uint64)
+        views = np.array([base[rng.integers(5)] ^ (np.uint64(1) << rng.integers(0, 63, 3).astype(np.uint64)) * np.uint64(rng.integers(0, 2)) for _ in range(40)])
+        distance = np.bitwise_count(views[:, None] ^ views[None]).sum(axis=2)
+        tree = simhash.spanning_tree(views)
+        for limit in (0, 3, 6, simhash.FAR):
+            want = brute_components(range(40), lambda a, b: distance[a, b] <= limit)
+            edges = {frozenset(e) for e in tree if distance[e] <= limit}
+            got = brute_components(range(40), lambda a, b: frozenset((a, b)) in edges)
+            groups = lambda of: {frozenset(k for k in range(40) if of[k] == t) for t in of}
+            assert groups(got) == groups(want)
+
+
+def test_pairs_of_blocks_propose_enough_to_connect(spark):
+    rng = np.random.default_rng(5)
+    base = int(rng.integers(0, 2**62))
+    rows = [(k, *[int(simhash.signed(base ^ (1 << int(rng.integers(0, 63))))) for _ in range(3)]) for k in range(120)]
+    nodes = spark.createDataFrame(rows, "fp long, v0 long, v1 long, v2 long")
+    for block in (16, 1024):
+        found = {r.node: r.component for r in components(simhash.proposed(nodes, block=block)).collect()}
+        assert set(found.values()) == {0} and len(found) == 120

@@ -8,6 +8,12 @@ each pair within the radius meets in a table, with certainty.
 Equal fingerprints are one node. A table's bucket of two nodes is compared in place; a larger one yields a spanning
 forest of its links and never its pairs. Buckets above ``BLOCK`` nodes are compared block against block, each pair of
 blocks a group of its own, so no group is larger than about two blocks and no pair is missed.
+
+``near_duplicates`` links fingerprints within a radius. ``similar_documents`` links texts by the similarity of their
+shingle sets: there fingerprints only propose pairs. Edits of a few words move many shingles but few words, so texts of
+a similarity of 0.8 are about five bits apart in a fingerprint of distinct words; three such fingerprints propose with a
+recall above 0.95, and a sketch of the shingle sets decides. Of a bucket's pairs those of a minimum spanning tree by
+distance are proposed, which connect whatever closer pairs would connect.
 """
 
 from __future__ import annotations
@@ -17,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -102,24 +108,46 @@ def _forests(groups: DataFrame, radius: int) -> DataFrame:
     return groups.mapInArrow(run, "a long, b long")
 
 
-def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) over the distinct longs in column fp that connect what lies within radius differing bits."""
-    masks = [F.struct(F.lit(k).cast("short").alias("t"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("key")) for k, m in enumerate(covering_masks(radius))]
-    dealt = nodes.select("fp", F.explode(F.array(*masks)).alias("at")).select("fp", "at.t", "at.key")
-    counts = dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    counts = cut(counts)
-    twos = counts.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+def _dealt(nodes: DataFrame, fingerprints: tuple[str, ...], radius: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """nodes once for each table of each fingerprint, as (t, key, fp, more)."""
+    masks = covering_masks(radius)
+    tables = [F.struct(F.lit(v * len(masks) + k).cast("short").alias("t"), F.col(c).bitwiseAND(F.lit(signed(m))).alias("key")) for v, c in enumerate(fingerprints) for k, m in enumerate(masks)]
+    return nodes.select("fp", *more, F.explode(F.array(*tables)).alias("at")).select("at.t", "at.key", "fp", *more)
+
+
+def _groups(dealt: DataFrame, counts: DataFrame, block: int, item: Column) -> DataFrame:
+    """(items): the members of each bucket of more than two nodes, or of each pair of its blocks."""
     large = counts.where("n > 2").select("t", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda d: F.least(own, d) * F.col("blocks") + F.greatest(own, d))
-    groups = (
+    return (
         dealt.join(large, ["t", "key"])
-        .select("t", "key", "fp", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(met)).alias("pair"))
+        .withColumn("pair", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(met)))
         .groupBy("t", "key", "pair")
-        .agg(F.collect_list("fp").alias("fps"))
-        .select("fps")
+        .agg(F.collect_list(item).alias("items"))
+        .select("items")
     )
-    return twos.union(_forests(groups, radius))
+
+
+def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) over the distinct longs in column fp that connect what lies within radius differing bits."""
+    dealt = _dealt(nodes, ("fp",), radius)
+    counts = cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+    twos = counts.where((F.col("n") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)).select("a", "b")
+    return twos.union(_forests(_groups(dealt, counts, block, F.col("fp")), radius))
+
+
+def classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (doc_id, fp, …) with component_id, the smallest doc_id that edges (a, b) over fp reach.
+
+    A component without an id has a null one.
+    """
+    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    linked = cut(nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp"))
+    tops = linked.groupBy("component").agg(F.min("least").alias("top"))
+    linked = cut(linked.join(cut(tops), "component").select("fp", "top"))
+    found = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")))
+    return rows.join(found, "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
@@ -130,13 +158,126 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     has none. Repeated rows stay repeated; an empty table gives an empty result.
     """
     rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = components(links(nodes.select("fp"), radius))
-    linked = cut(nodes.join(found.withColumnRenamed("node", "fp"), "fp"))
-    tops = linked.groupBy("component").agg(F.min("least").alias("top"))
-    linked = cut(linked.join(cut(tops), "component").select("fp", "top"))
-    classes = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")))
-    return rows.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return classes(rows, links(rows.select("fp").distinct(), radius)).select("doc_id", "fp", "component_id")
+
+
+VIEWS = ("v0", "v1", "v2")
+BINS = 256
+#: Differing bits of all views beyond which a pair isn't worth a look at its sketches.
+FAR = 44
+
+
+def bits_of(hashes: np.ndarray) -> int:
+    """The signed fingerprint of distinct 64-bit features."""
+    if not len(hashes):
+        return 0
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def mixed(x: np.ndarray, salt: int) -> np.ndarray:
+    """Another 64-bit hash of each hash."""
+    x = (x + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(32))
+
+
+def profile(text: str | None, width: int) -> tuple[int, list[int], bytes]:
+    """(hash of the words, a fingerprint of the distinct words for each view, sketch of the shingles).
+
+    A sketch holds for each of BINS classes of shingle hashes 16 bits of the least hash, zero for an empty class. Fewer
+    words than a shingle has are one shingle; no words have an empty sketch.
+    """
+    words = (text or "").encode().lower().split()
+    digest = xxhash.xxh64_intdigest
+    sketch = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    if words:
+        own = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
+        n = max(1, len(words) - width + 1)
+        h = np.zeros(n, dtype=np.uint64)
+        for k in range(min(width, len(words))):
+            h = mixed(h + own[k : k + n], k + 1)
+        np.minimum.at(sketch, (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(8))
+        own = np.unique(own)
+    else:
+        own = np.zeros(0, dtype=np.uint64)
+    short = np.where(sketch == np.iinfo(np.uint64).max, 0, (sketch & np.uint64(0xFFFF)) | np.uint64(1)).astype("<u2")
+    return signed(digest(b" ".join(words), 7)), [bits_of(mixed(own, v + 50)) for v in range(len(VIEWS))], short.tobytes()
+
+
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, fp, v0, v1, v2, sketch) of every row of docs (doc_id, text)."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType(), False), *(T.StructField(v, T.LongType(), False) for v in VIEWS), T.StructField("sketch", T.BinaryType(), False)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [profile(x.as_py(), width) for x in batch.column(1)]
+            views = [pa.array([x[1][v] for x in found], pa.int64()) for v in range(len(VIEWS))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *views, pa.array([x[2] for x in found], pa.binary())], names=schema.names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
+
+
+def spanning_tree(views: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of rows of a minimum spanning forest by differing bits, of those that differ in FAR bits at most."""
+    n = len(views)
+    best, nearest, free, found = np.full(n, FAR + 1), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool), []
+    at = 0
+    for _ in range(n - 1):
+        free[at] = False
+        distance = np.bitwise_count(views ^ views[at]).sum(axis=1)
+        closer = free & (distance < best)
+        best[closer], nearest[closer] = distance[closer], at
+        at = int(np.where(free, best, FAR + 2).argmin())
+        if best[at] <= FAR:
+            found.append((int(nearest[at]), at))
+    return found
+
+
+def proposed(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of nodes (fp, v0, v1, v2) that meet in a table of a view."""
+    dealt = _dealt(nodes, VIEWS, radius, VIEWS)
+    counts = cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for x in batch.column(0):
+                part = x.values
+                names = part.field(0).to_numpy()
+                for k, m in spanning_tree(np.stack([part.field(v + 1).to_numpy() for v in range(len(VIEWS))], axis=1).view(np.uint64)):
+                    a.append(min(names[k], names[m]))
+                    b.append(max(names[k], names[m]))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    trees = _groups(dealt, counts, block, F.struct("fp", *VIEWS)).mapInArrow(run, "a long, b long")
+    return counts.where("n = 2").select("a", "b").union(trees).distinct()
+
+
+def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sketches agree in at least that share of the classes that either fills."""
+    known = nodes.select("fp", "sketch")
+    both = pairs.join(known.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, BINS) for k in (2, 3)]
+            held = ((x == y) & (x > 0)).sum(axis=1) >= similarity * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
+            yield batch.select(["a", "b"]).filter(pa.array(held))
+
+    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, fp, component_id) for every row; links join texts whose sets of shingles are that similar.
+
+    The similarity of two sets is their common part over their union, as sketches of ``BINS`` classes give it. Equal
+    word sequences (texts without a word among them) are linked. fp is the hash of the word sequence.
+    """
+    rows = cut(profiles(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width))
+    nodes = cut(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in (*VIEWS, "sketch")]))
+    edges = alike(proposed(nodes.drop("sketch")), nodes, similarity)
+    return classes(rows.select("doc_id", "fp"), edges)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -144,12 +285,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, radius: int = 4) -> DataFrame:
-    """docs with one row of each near-duplicate component: the smallest id; of rows that share an id, one.
+def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs with one row of each component of similar documents: the smallest id; of rows that share an id, one.
 
     Rows without an id can't be named by their component and stay.
     """
-    found = near_duplicates(docs.where(F.col(doc_id).isNotNull()), doc_id, text, width, radius)
+    found = similar_documents(docs.where(F.col(doc_id).isNotNull()), doc_id, text, width, similarity)
     kept = cut(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct())
     once = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
     return once.select(*docs.columns).union(docs.where(F.col(doc_id).isNull()))
