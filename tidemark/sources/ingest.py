@@ -105,6 +105,60 @@ def parse_remote_write(data: bytes) -> list[tuple]:
     return found
 
 
+def parse_remote_read(data: bytes) -> list[tuple[int, int, list[tuple[str, str, str]]]]:
+    """(start, end, [(name, operator, value)]) of each query of a remote-read message.
+
+    Of the wire format: queries are field 1; start, end and matchers fields 1 to 3 of a query; type (0 to 3 for =, !=,
+    =~, !~), name and value fields 1 to 3 of a matcher.
+    """
+    operators, found = ("=", "!=", "=~", "!~"), []
+    for number, kind, query in _fields(data):
+        if (number, kind) != (1, 2):
+            continue
+        start = end = 0
+        matchers = []
+        for n, k, part in _fields(query):
+            if (n, k) == (1, 0):
+                start = _signed(part)
+            elif (n, k) == (2, 0):
+                end = _signed(part)
+            elif (n, k) == (3, 2):
+                own = {m: v for m, _, v in _fields(part)}
+                if own.get(1, 0) > 3:
+                    raise BadWrite("unknown matcher type")
+                matchers.append((own.get(2, b"").decode(), operators[own.get(1, 0)], own.get(3, b"").decode()))
+        found.append((start, end, matchers))
+    return found
+
+
+def _field(number: int, kind: int, value: bytes | int) -> bytes:
+    def varint(x: int) -> bytes:
+        out = bytearray()
+        while x > 127:
+            out.append(x & 127 | 128)
+            x >>= 7
+        out.append(x)
+        return bytes(out)
+
+    head = varint(number << 3 | kind)
+    if kind == 0:
+        return head + varint(value & (1 << 64) - 1)
+    return head + (varint(len(value)) if kind == 2 else b"") + value
+
+
+def remote_read_answer(results: list[list[tuple[tuple[tuple[str, str], ...], list[tuple[int, float]]]]]) -> bytes:
+    """A remote-read answer: for each query its series, each as sorted labels and (ts, value) in order."""
+    out = b""
+    for series in results:
+        body = b""
+        for labels, points in series:
+            own = b"".join(_field(1, 2, _field(1, 2, k.encode()) + _field(2, 2, v.encode())) for k, v in labels)
+            own += b"".join(_field(2, 2, _field(1, 1, struct.pack("<d", v)) + _field(2, 0, t)) for t, v in points)
+            body += _field(1, 2, own)
+        out += _field(1, 2, body)
+    return out
+
+
 def decode(body: bytes, content_type: str = "", encoding: str = "", unsnap=None) -> list[tuple]:
     """(metric, labels, ts, value) of a write's body, JSON or protobuf.
 
