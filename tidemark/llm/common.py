@@ -48,12 +48,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def keep_rows(docs: DataFrame, text: str, made: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The same rows from compressed Parquet in the shared folder; for what is too large for a plain checkpoint."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def keep_rows(docs: DataFrame, text: str, made: Callable[[], Callable[[Iterator[str | None]], list[bool]]]) -> DataFrame:
     """The rows of docs whose text passes, whatever their other columns. made() gives a task its test of many texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         test = made()
         for batch in batches:
-            yield batch.filter(pa.array(test(batch.column(batch.schema.get_field_index(text)).to_pylist()), pa.bool_()))
+            texts = (x.as_py() for x in batch.column(batch.schema.get_field_index(text)))
+            yield batch.filter(pa.array(test(texts), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
