@@ -35,29 +35,28 @@ class SampleStore:
     def _files(self):
         return self._path(self.root).getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
+    def _folder(self, batch: int) -> str:
+        return f"{self.root}/batch={batch:012d}"
+
     def batches(self) -> list[int]:
         """Numbers of the batches, oldest first."""
         there = self._files.listStatus(self._path(self.root)) if self._files.exists(self._path(self.root)) else []
-        return sorted(int(x.getPath().getName()[2:]) for x in there if x.getPath().getName().startswith("b-"))
-
-    def _read(self, batches: list[int] | None = None) -> DataFrame:
-        paths = [f"{self.root}/b-{b:012d}" for b in (self.batches() if batches is None else batches)]
-        if not paths:
-            return self.spark.createDataFrame([], T.StructType([*STORED.fields, T.StructField("day", T.IntegerType())]))
-        reader = self.spark.read.schema(T.StructType([*STORED.fields, T.StructField("day", T.IntegerType())]))
-        parts = [reader.option("basePath", p).parquet(p) for p in paths]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return sorted(int(x.getPath().getName().removeprefix("batch=")) for x in there if x.getPath().getName().startswith("batch="))
+
+    def _read(self) -> DataFrame:
+        """All batches in one scan, with batch and day as partition columns."""
+        schema = T.StructType([*STORED.fields, T.StructField("batch", T.LongType()), T.StructField("day", T.IntegerType())])
+        if not self.batches():
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.root)
 
     def _write(self, rows: DataFrame, number: int) -> None:
         """Sorted by series and time within each day, so that the row groups' statistics prune."""
-        staged = f"{self.root}/staged-{uuid.uuid4().hex}"
+        staged = f"{self.root}/_staged-{uuid.uuid4().hex}"  # readers pass over names that begin so
         rows = rows.withColumn("day", F.floor(F.col("ts") / DAY).cast("int"))
         rows = rows.repartition("day", "metric").sortWithinPartitions("day", "metric", series_of(F.col("labels")), "ts")
         rows.write.partitionBy("day").parquet(staged)
-        if not self._files.rename(self._path(staged), self._path(f"{self.root}/b-{number:012d}")):
+        if not self._files.rename(self._path(staged), self._path(self._folder(number))):
             raise RuntimeError(f"batch {number} is there already")
 
     def check_series(self, batch: DataFrame) -> None:
@@ -80,7 +79,7 @@ class SampleStore:
         return number
 
     def all(self) -> Labelled:
-        return FrameSource(self._read().drop("day")).all()
+        return FrameSource(self._read().drop("batch", "day")).all()
 
     def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None) -> Labelled:
         rows = self._read()
@@ -88,7 +87,7 @@ class SampleStore:
             rows = rows.where(F.col("day") >= lo // DAY)
         if hi is not None:
             rows = rows.where(F.col("day") <= hi // DAY)
-        return FrameSource(rows.drop("day")).scan(metric, lo, hi, where)
+        return FrameSource(rows.drop("batch", "day")).scan(metric, lo, hi, where)
 
     def series_counts(self) -> DataFrame:
         """(metric, series) of what the store holds: the number of distinct label sets a metric."""
@@ -104,28 +103,24 @@ class SampleStore:
         there = self.batches()
         if len(there) < 2:
             return 0
-        rows = self._read(there)
+        rows = self._read().where(F.col("batch").isin(there))
         once = rows.withColumn("series", series_of(F.col("labels"))).groupBy("metric", "series", "ts").agg(F.max_by(F.struct("labels", "value", "ingest_seq"), "ingest_seq").alias("x"))
         self._write(once.select("metric", "x.labels", "ts", "x.value", "x.ingest_seq"), there[-1] + 1)
         for b in there:
-            self._files.delete(self._path(f"{self.root}/b-{b:012d}"), True)
+            self._files.delete(self._path(self._folder(b)), True)
         return len(there)
 
     def retain(self, now: int, period: int) -> int:
         """Drops the day partitions whose last sample is before now - period; 0 keeps all. Returns how many went."""
         if period <= 0:
             return 0
-        gone = 0
-        for b in self.batches():
-            last = self._read([b]).groupBy("day").agg(F.max("ts").alias("last")).where(F.col("last") < now - period)
-            for day in [r.day for r in last.collect()]:
-                gone += bool(self._files.delete(self._path(f"{self.root}/b-{b:012d}/day={day}"), True))
-        return gone
+        last = self._read().groupBy("batch", "day").agg(F.max("ts").alias("last")).where(F.col("last") < now - period)
+        return sum(bool(self._files.delete(self._path(f"{self._folder(r.batch)}/day={r.day}"), True)) for r in last.collect())
 
     def snapshot(self, target: str) -> None:
         """Copies the upserted samples to a store of their own."""
         other = SampleStore(self.spark, target, 0)
-        rows = self._read().drop("day")
+        rows = self._read().drop("batch", "day")
         other._write(rows, 1)
 
     def status(self) -> dict[str, int]:
