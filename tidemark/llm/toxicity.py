@@ -30,10 +30,10 @@ STARTS = (4, 5, 6)
 MAX_LABELLED = 5000
 #: Rates are counts over the number of words plus this, so that one word makes no text.
 SMOOTHING = 20
-#: A feature must occur in so many sampled documents.
-LEAST = 5
+#: A feature must occur in so many sampled documents; in a small sample, in a hundredth of them and in 3 at least.
+LEAST = 10
 #: Words whose weight a worker remembers; beyond it forgets all. This bounds memory and changes no result.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def features_of(word: str) -> list[int]:
@@ -54,6 +54,10 @@ def sparse_words(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at[order], np.fromiter(values.values(), dtype=np.float32, count=len(values))[order]
 
 
+def least_of(rows: int) -> int:
+    return min(LEAST, max(3, rows // 100))
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(x / 2))
 
@@ -65,7 +69,7 @@ def grade_probabilities(eta: np.ndarray, thresholds: np.ndarray) -> np.ndarray:
     return np.diff(edges, axis=1)
 
 
-def cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, size: int, top: int, l1: float = 0.0007, l2: float = 1e-5, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
+def cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, size: int, top: int, l1: float = 0.0015, l2: float = 1e-5, steps: int = 500) -> tuple[np.ndarray, np.ndarray]:
     """Weights and increasing thresholds for grades 0 to top; rows are sparse (indices, values)."""
     n = len(rows)
     at = np.concatenate([r[0] for r in rows]).astype(np.int64)
@@ -84,7 +88,10 @@ def cumulative_link(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarra
     theta = np.maximum.accumulate(np.log(shares / (1 - shares)) + np.arange(top) * 1e-3)
     w = np.zeros(size)
     ahead, momentum = w, 1.0
-    for _ in range(steps):
+    for k in range(steps):
+        if k == steps // 4:  # from here on only features that have a weight
+            held = w[at] != 0
+            at, v, own = at[held], v[held], own[held]
         eta = apply(ahead)
         below = sigmoid(theta[None, :] - eta[:, None])
         edges = np.concatenate([np.zeros((n, 1)), below, np.ones((n, 1))], axis=1)
@@ -132,7 +139,7 @@ def grades_of(rows: list[tuple[np.ndarray, np.ndarray]], toxic: np.ndarray) -> n
     """
     yes, no = [Counter(f for (at, _), t in zip(rows, toxic, strict=True) if t == k for f in at.tolist()) for k in (1, 0)]
     n_yes, n_no = max(1, int(toxic.sum())), max(1, int((1 - toxic).sum()))
-    markers = {f for f, n in yes.items() if n >= LEAST and n / n_yes >= 8 * (no[f] + 0.5) / n_no}
+    markers = {f for f, n in yes.items() if n >= least_of(len(rows)) and n / n_yes >= 8 * (no[f] + 0.5) / n_no}
     share = np.array([sum(x for f, x in zip(at.tolist(), v.tolist(), strict=True) if f in markers) / max(1e-9, v.sum()) for at, v in rows])
     middle = np.median(share[toxic == 1]) if (toxic == 1).any() else 0.0
     return np.where(toxic == 0, 0, np.where(share >= middle, 2, 1)).astype(np.int64)
@@ -143,7 +150,7 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, top:
     if not rows:
         return Model({}, np.full(top, 40.0))
     known, n = np.unique(np.concatenate([r[0] for r in rows]), return_counts=True)
-    known = known[n >= LEAST]
+    known = known[n >= least_of(len(rows))]
     found = []
     for at, v in rows:
         k = np.searchsorted(known, at)
@@ -216,6 +223,6 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def made() -> Callable[[list[str | None]], list[bool]]:
         weigher, thresholds = Weigher(shared.value.weights), shared.value.thresholds
-        return lambda texts: (grade_probabilities(np.array([weigher.total(x or "") for x in texts], dtype=float), thresholds)[:, 0] > 0.5).tolist()
+        return lambda texts: (grade_probabilities(np.fromiter((weigher.total(x or "") for x in texts), dtype=float), thresholds)[:, 0] > 0.5).tolist()
 
     return keep_rows(docs, "text", made)
