@@ -1,0 +1,61 @@
+import re
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tidemark.functions.matchers import Matcher
+from tidemark.functions.regex import BadPattern, to_java
+from tidemark.operators.grid import Grid
+from tidemark.plans.promql import Aggregate, Call, Number, ParseError, Selector, parse
+from tidemark.plans.render import number
+
+names = st.from_regex(r"[a-z_][a-z0-9_]{0,6}", fullmatch=True).filter(lambda n: n not in ("by", "without", "sum", "count", "avg", "min", "max", "rate", "irate", "increase") and not n.endswith("_over_time"))
+texts = st.text(max_size=8)
+selectors = st.builds(Selector, names, st.lists(st.builds(Matcher, names, st.sampled_from(["=", "!=", "=~", "!~"]), texts), max_size=3).map(tuple), st.integers(0, 10**9))
+calls = st.builds(Call, st.sampled_from(["rate", "irate", "max_over_time"]), selectors.filter(lambda s: s.width))
+trees = st.recursive(selectors | calls | st.builds(Number, st.floats(0, 1e300)), lambda inner: st.builds(Aggregate, st.sampled_from(["sum", "avg"]), inner, st.lists(names, max_size=2).map(tuple)), max_leaves=3)
+
+
+def written(tree):
+    if isinstance(tree, Number):
+        return repr(tree.value)
+    if isinstance(tree, Call):
+        return f"{tree.name}({written(tree.argument)})"
+    if isinstance(tree, Aggregate):
+        return f"{tree.op} by ({','.join(tree.by)}) ({written(tree.inner)})"
+    quoted = lambda v: '"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    matchers = ", ".join(f"{m.name}{m.op}{quoted(m.value)}" for m in tree.matchers)
+    return f"{tree.metric}{{{matchers}}}" + (f"[{tree.width}ms]" if tree.width else "")
+
+
+@given(trees)
+def test_a_written_tree_parses_to_itself(tree):
+    assert parse(written(tree)) == tree
+
+
+@given(st.text(max_size=30))
+def test_any_text_parses_or_is_an_error(text):
+    try:
+        parse(text)
+    except ParseError as error:
+        assert 0 <= error.position <= len(text)
+
+
+@given(st.floats(allow_nan=False, allow_infinity=False))
+def test_numbers_read_back(x):
+    assert float(number(x)) == x and "e" not in number(x)
+
+
+@given(st.text(alphabet="ab.*+?()[]{}|\\^$-09,:<>P=!", max_size=12))
+@settings(max_examples=300)
+def test_patterns_are_translated_or_rejected(pattern):
+    try:
+        assert re.match(r"\(\?d\)\\A\(\?:", to_java(pattern))
+    except BadPattern:
+        pass
+
+
+@given(st.integers(-1000, 1000), st.integers(0, 500), st.integers(1, 70))
+def test_grids_hold_their_points(start, length, step):
+    grid = Grid(start, start + length, step)
+    assert grid.points == len(range(start, start + length + 1, step)) and grid.last == range(start, start + length + 1, step)[-1]
