@@ -18,6 +18,8 @@ from tidemark.llm.common import WORD_BREAK, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
+#: Words among which distinct ones are counted, so that their share doesn't fall with the length of a text.
+CHUNK = 200
 #: Bound of the labelled rows that a list is fitted on; a hash of doc_id chooses them when there are more.
 MAX_LABELLED = 20_000
 FEATURES = ("symbol_rate", "dup_line_rate", "repeat_rate", "mean_word", "upper_rate", "distinct_rate")
@@ -45,13 +47,16 @@ def with_stats(df: DataFrame, text: str = "text") -> DataFrame:
     )
     h, n = F.col("_h"), F.size("_h")
     windows = F.transform(F.sequence(F.lit(0), n - WINDOW), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)]))
+    chunks = F.sequence(F.lit(0), F.floor((n - 1) / CHUNK).cast("int"))
+    near = F.aggregate(chunks, F.lit(0), lambda acc, i: acc + F.size(F.array_distinct(F.slice(h, i * CHUNK + 1, CHUNK))))
+    near = F.when(n > 0, near).otherwise(0)
     out = out.select(
         *kept,
         n.cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
         "_upper",
-        F.size(F.array_distinct(h)).alias("_distinct"),
+        near.alias("_distinct"),
         F.size("_lines").alias("_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.when(n >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")).alias("_w"),
