@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
+
 # POSIX classes of RE2 and the Java classes that hold the same characters.
 POSIX = {
     "alnum": r"\p{Alnum}", "alpha": r"\p{Alpha}", "ascii": r"\p{ASCII}", "blank": r"\p{Blank}", "cntrl": r"\p{Cntrl}", "digit": "0-9", "graph": r"\p{Graph}",
@@ -16,6 +20,18 @@ class BadPattern(ValueError):
     """Not a pattern of the language."""
 
 
+def _compiles(pattern: str) -> bool:
+    """Whether Java takes a pattern; without a session it is taken to."""
+    context = SparkContext._active_spark_context
+    if context is None:
+        return True
+    try:
+        context._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JJavaError, IllegalArgumentException):
+        return False
+    return True
+
+
 def _escape(pattern: str, k: int, in_class: bool) -> tuple[str, int]:
     if k + 1 >= len(pattern):
         raise BadPattern("trailing backslash")
@@ -24,6 +40,8 @@ def _escape(pattern: str, k: int, in_class: bool) -> tuple[str, int]:
         return (SPACE if in_class else f"[{SPACE}]"), k + 2
     if c == "S":
         return (f"&&[^{SPACE}]" if in_class else f"[^{SPACE}]"), k + 2
+    if m := re.compile(r"0[0-7]{0,2}|[1-7][0-7]{1,2}").match(pattern, k + 1):
+        return f"\\x{{{int(m[0], 8):x}}}", m.end()
     if c == "C" or c in "123456789kXRZGhHvVNeo" or c == "z" and in_class:
         if c == "v":
             return r"\x0B", k + 2
@@ -105,7 +123,7 @@ def to_java(pattern: str) -> str:
             m = re.compile(r"[*+?]\??|\{(\d+)(?:,(\d*))?\}\??").match(pattern, k)
             if m[1] and max(int(x) for x in m.groups() if x) > 1000 or m[1] and m[2] and int(m[2]) < int(m[1]):
                 raise BadPattern("bad repeat count")
-            if not out or out[-1] in ("(", "|", "(?:") or re.match(r"[*+?{]", pattern[m.end() :]) and (pattern[m.end()] != "{" or re.match(r"\{\d", pattern[m.end() :])):
+            if not out or out[-1] == "|" or out[-1].startswith("(") or re.match(r"[*+?{]", pattern[m.end() :]) and (pattern[m.end()] != "{" or re.match(r"\{\d", pattern[m.end() :])):
                 raise BadPattern("nothing to repeat")
             out.append(m[0])
             k = m.end()
@@ -114,7 +132,10 @@ def to_java(pattern: str) -> str:
             k += 1
     if in_class or open_groups:
         raise BadPattern("unclosed bracket or group")
-    return rf"(?d)\A(?:{''.join(out)})\z"
+    found = rf"(?d)\A(?:{''.join(out)})\z"
+    if not _compiles(found):
+        raise BadPattern("bad pattern")
+    return found
 
 
 def glob_to_java(glob: str) -> str | None:
@@ -140,4 +161,5 @@ def glob_to_java(glob: str) -> str | None:
         else:
             out.append(re.escape(c))
         k += 1
-    return rf"(?s)\A(?:{''.join(out)})\z"
+    found = rf"(?s)\A(?:{''.join(out)})\z"
+    return found if _compiles(found) else None
