@@ -246,3 +246,13 @@ def test_plans_push_down_and_keep_to_the_jvm(spark):
     text = events(spark, "/root/testdata/sf0.001").query("sum by (shard) (rate(click[1d]))", AT + DAY)._jdf.queryExecution().toString()
     assert "PushedFilters: [IsNotNull(event_type), IsNotNull(ts), EqualTo(event_type,click), GreaterThanOrEqual(ts" in text.replace("IsNotNull(ts), IsNotNull(event_type)", "IsNotNull(event_type), IsNotNull(ts)")
     assert "props" not in text.split("ReadSchema")[1] and "Python" not in text and "NestedLoop" not in text
+
+
+def test_sorting_queries_shuffle_samples_once(spark):
+    from tidemark.plans.catalog import AT, DAY, STEP
+    from tidemark.plans.catalog import engine as events
+
+    e = events(spark, "/root/testdata/sf0.001")
+    for text, exchanges in (("click[1d]", 1), ("rate(click[1d])", 1), ("irate(click[1d])", 1), ("sum by (shard) (rate(click[1d]))", 2), ("sum_over_time(click[1d])", 2)):
+        plan = e.query_range(text, AT, AT + DAY, STEP)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == exchanges, (text, plan)

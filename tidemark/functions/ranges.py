@@ -30,7 +30,9 @@ PARTIAL: dict[str, tuple[dict[str, Callable], Callable[[], Column]]] = {
     "min_over_time": ({"s": least}, lambda: F.min("s")),
     "max_over_time": ({"s": greatest}, lambda: F.max("s")),
 }
-NAMES = (*SIMPLE, "rate", "increase", "irate")
+#: Functions of neighbouring samples, for which each series is sorted.
+NEIGHBOURLY = ("rate", "increase", "irate")
+NAMES = (*SIMPLE, *NEIGHBOURLY)
 
 
 def _over_time(name: str, samples: Labelled, grid: Grid, width: int) -> DataFrame:

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 from tidemark.sources.model import Labelled
 
 
-def last_write_wins(samples: Labelled) -> Labelled:
+def last_write_wins(samples: Labelled, together: bool = False) -> Labelled:
     """One row for each (metric, label set, ts), with the value of the greatest ingest_seq.
 
-    A partial aggregation runs before the shuffle, so rewriting a point any number of times doesn't skew a task.
+    A partial aggregation runs before the shuffle, so rewriting a point any number of times doesn't skew a task. With
+    ``together`` the rows are dealt by series instead, for a reader that sorts each series next and then needs no
+    shuffle of its own.
     """
     keys = ["metric", *samples.keys, "ts"]
-    kept = samples.frame.groupBy(*keys).agg(F.max_by("value", "ingest_seq").alias("value"))
+    rows = samples.frame.repartition("metric", *samples.keys) if together else samples.frame
+    kept = rows.groupBy(*keys).agg(F.max_by("value", "ingest_seq").alias("value"))
     return samples.with_frame(kept)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.aggregates import AGGREGATES
 from tidemark.functions.matchers import Matcher, Plan, label_filter, query_plan, remote_plan
-from tidemark.functions.ranges import last_sample, over_range
+from tidemark.functions.ranges import NEIGHBOURLY, last_sample, over_range
 from tidemark.operators.grid import Grid, instant
 from tidemark.plans.promql import Aggregate, Call, Expr, Number, Selector, parse
 from tidemark.sources.model import NAME, Labelled, prom_labels
@@ -68,20 +68,22 @@ class Engine:
             return Labelled(points, ())
         if isinstance(expr, Selector):
             width = expr.width or self.config.lookback
-            samples = self._window(expr, grid, width)
+            samples = self._window(expr, grid, width, True)
             return samples.with_frame(last_sample(samples, grid, width, self.config.bucket))
         if isinstance(expr, Call):
-            samples = self._window(expr.argument, grid, expr.argument.width)
+            samples = self._window(expr.argument, grid, expr.argument.width, expr.name in NEIGHBOURLY)
             return samples.with_frame(over_range(expr.name, samples, grid, expr.argument.width, self.config.bucket))
         return self._aggregate(expr, grid)
 
-    def _window(self, selector: Selector, grid: Grid, width: int) -> Labelled:
+    def _window(self, selector: Selector, grid: Grid, width: int, sorts: bool) -> Labelled:
+        """The samples that windows of the grid may hold; sorts tells that each series will be sorted."""
         self.check_window(grid.start - width, grid.start)
-        return self.scan(query_plan(selector.metric, selector.matchers), grid.start - width, grid.last)
+        together = sorts and self.config.bucket is None
+        return self.scan(query_plan(selector.metric, selector.matchers), grid.start - width, grid.last, together)
 
-    def scan(self, plan: Plan, lo: int, hi: int) -> Labelled:
+    def scan(self, plan: Plan, lo: int, hi: int, together: bool = False) -> Labelled:
         where = (lambda _: F.lit(False)) if plan.impossible else plan.where
-        return self.source.scan(plan.metric, lo, hi, where)
+        return self.source.scan(plan.metric, lo, hi, where, together)
 
     def _aggregate(self, expr: Aggregate, grid: Grid) -> Labelled:
         inner = self.vector(expr.inner, grid)

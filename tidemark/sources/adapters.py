@@ -34,7 +34,7 @@ class FrameSource:
         """Every sample, as stored (no upsert applied)."""
         return Labelled(self.frame.withColumn("series", series_of(F.col("labels"))).drop("labels"), None)
 
-    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None) -> Labelled:
+    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None, together: bool = False) -> Labelled:
         rows = self.frame
         if metric is not None:
             rows = rows.where(F.col("metric") == metric)
@@ -45,7 +45,7 @@ class FrameSource:
         found = Labelled(rows.withColumn("series", series_of(F.col("labels"))).drop("labels"), None)
         if where is not None:
             found = found.with_frame(found.frame.where(where(found)))
-        return found if self.unique else last_write_wins(found)
+        return found if self.unique else last_write_wins(found, together)
 
 
 class TableSource:
@@ -69,7 +69,7 @@ class TableSource:
     def all(self) -> Labelled:
         return self._mapped(self.table)
 
-    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None) -> Labelled:
+    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None, together: bool = False) -> Labelled:
         rows = self.table
         if metric is not None:
             rows = rows.where(self.metric == metric)
@@ -80,7 +80,7 @@ class TableSource:
         found = self._mapped(rows)
         if where is not None:
             found = found.with_frame(found.frame.where(where(found)))
-        return last_write_wins(found)
+        return last_write_wins(found, together)
 
 
 def events_source(spark: SparkSession, sf_dir: str) -> TableSource:

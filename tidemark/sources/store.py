@@ -81,13 +81,13 @@ class SampleStore:
     def all(self) -> Labelled:
         return FrameSource(self._read().drop("batch", "day")).all()
 
-    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None) -> Labelled:
+    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None, together: bool = False) -> Labelled:
         rows = self._read()
         if lo is not None:
             rows = rows.where(F.col("day") >= lo // DAY)
         if hi is not None:
             rows = rows.where(F.col("day") <= hi // DAY)
-        return FrameSource(rows.drop("batch", "day")).scan(metric, lo, hi, where)
+        return FrameSource(rows.drop("batch", "day")).scan(metric, lo, hi, where, together)
 
     def series_counts(self) -> DataFrame:
         """(metric, series) of what the store holds: the number of distinct label sets a metric."""
