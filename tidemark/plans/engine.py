@@ -107,7 +107,7 @@ class Engine:
 
     def by_series(self, rows: DataFrame) -> DataFrame:
         """One row a series, with its samples in order: the shape of the range and remote-read answers."""
-        entries = F.array_sort(F.map_entries("labels"))
+        entries = F.sort_array(F.map_entries("labels"))
         points = F.sort_array(F.collect_list(F.struct("ts", "value"))).alias("points")
         return rows.groupBy("metric", entries.alias("entries")).agg(points).select("metric", F.map_from_entries("entries").alias("labels"), "points")
 

@@ -26,7 +26,7 @@ NAME = "__name__"
 
 def series_of(labels: Column) -> Column:
     """Canonical text of a label set, equal for equal sets in any order; a null set is the empty one."""
-    entries = F.array_sort(F.map_entries(F.coalesce(labels, F.create_map().cast(LABELS))))
+    entries = F.sort_array(F.map_entries(F.coalesce(labels, F.create_map().cast(LABELS))))
     return F.coalesce(F.to_json(F.map_from_entries(entries)), F.lit("{}"))
 
 

@@ -54,8 +54,9 @@ class SampleStore:
         """Sorted by series and time within each day, so that the row groups' statistics prune."""
         staged = f"{self.root}/_staged-{uuid.uuid4().hex}"  # readers pass over names that begin so
         rows = rows.withColumn("day", F.floor(F.col("ts") / DAY).cast("int"))
-        rows = rows.repartition("day", "metric").sortWithinPartitions("day", "metric", series_of(F.col("labels")), "ts")
-        rows.write.partitionBy("day").parquet(staged)
+        series = F.xxhash64(F.sort_array(F.map_entries("labels")))  # of the same series the same; that is enough to lie together
+        rows = rows.withColumn("_s", series).repartition("day", "metric", "_s").sortWithinPartitions("day", "metric", "_s", "ts")
+        rows.drop("_s").write.partitionBy("day").parquet(staged)
         if not self._files.rename(self._path(staged), self._path(self._folder(number))):
             raise RuntimeError(f"batch {number} is there already")
 
@@ -63,7 +64,9 @@ class SampleStore:
         """Raises TooManySeries if a metric would have more than max_series series. Series that exist always pass."""
         if self.max_series <= 0:
             return
-        series = lambda df: df.where("metric <> ''").select("metric", series_of(F.col("labels")).alias("series")).distinct()
+        # grouped as maps first, so that few of them are written as text
+        told = lambda df: df.where("metric <> ''").groupBy("metric", "labels").agg(F.lit(1)).select("metric", series_of(F.col("labels")).alias("series"))
+        series = lambda df: told(df).distinct()
         new = series(batch).join(existing := series(self._read()), ["metric", "series"], "left_anti").groupBy("metric").agg(F.count("*").alias("new"))
         over = new.join(existing.groupBy("metric").agg(F.count("*").alias("old")), "metric", "left")
         first = over.where(F.col("new") + F.coalesce("old", F.lit(0)) > self.max_series).orderBy("metric").first()
