@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from sentencepiece import sentencepiece_model_pb2 as pb
 
-from tidemark.llm.common import table
+from tidemark.llm.common import map_in_arrow, table
 
 #: Byte b stands as this character of the string.
 BYTE_CHARS = "".join(chr(0x100 + b) for b in range(256))
@@ -125,7 +125,7 @@ def encode(df: DataFrame, path: str, text: str = "text", out: str = "token_ids")
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
-    return base.mapInArrow(run, schema)
+    return base.transform(map_in_arrow, run, schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
@@ -143,7 +143,7 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
             texts = [b"".join(map(entry, x.values.tolist() if x.is_valid else ())) for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
-    return base.mapInArrow(run, schema)
+    return base.transform(map_in_arrow, run, schema)
 
 
 def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -165,7 +165,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 texts = pa.array([b"".join(map(entry, x.tolist())) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, lists, texts], names=[*kept, "token_ids", "decoded"])
 
-    return base.mapInArrow(run, schema)
+    return base.transform(map_in_arrow, run, schema)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

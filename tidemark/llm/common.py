@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -9,6 +10,7 @@ from urllib.parse import urlparse
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 #: Words are maximal runs of anything but space and the controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -55,6 +57,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch, at most. A text may have megabytes and a bucket a thousand members, and a batch is held twice.
+BATCH_ROWS = 500
+
+
+def _release() -> None:
+    """Gives freed memory back, since a worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def map_in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
+    """df.mapInArrow with small batches: the session's batch size is lowered to BATCH_ROWS if it is larger."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return df.mapInArrow(tidied, schema)
+
+
 def keep_rows(docs: DataFrame, text: str, made: Callable[[], Callable[[Iterator[str | None]], list[bool]]]) -> DataFrame:
     """The rows of docs whose text passes, whatever their other columns. made() gives a task its test of many texts."""
 
@@ -64,4 +94,4 @@ def keep_rows(docs: DataFrame, text: str, made: Callable[[], Callable[[Iterator[
             texts = (x.as_py() for x in batch.column(batch.schema.get_field_index(text)))
             yield batch.filter(pa.array(test(texts), pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_in_arrow(docs, run, docs.schema)

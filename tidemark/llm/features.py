@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import map_in_arrow
+
 Ids = Callable[[str], np.ndarray]
 GOLDEN = np.uint32(2654435761)
 STEP = np.uint32(16777619)
@@ -62,7 +64,7 @@ def document_frequencies(docs: DataFrame, ids: Ids, size: int, text: str = "text
         if n:
             yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()], pa.int32()), pa.array([n, *seen[at].tolist()], pa.int64())], names=["bucket", "n"])
 
-    parts = docs.select(text).mapInArrow(run, "bucket int, n long")
+    parts = docs.select(text).transform(map_in_arrow, run, "bucket int, n long")
     rows = parts.groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # size + 1 rows at most
     found, at, n = np.zeros(size + 1, dtype=np.int64), rows["bucket"].to_numpy(), rows["n"].to_numpy()
     found[at] = n
@@ -85,7 +87,7 @@ def collected(sample: DataFrame, ids: Ids, size: int, text: str = "text", label:
                 yield pa.RecordBatch.from_arrays(arrays, names=["at", "counts", "label"])
 
     kind = dict(sample.dtypes)[label]
-    rows = sample.select(text, label).mapInArrow(run, f"at binary, counts binary, label {kind}").toArrow().to_pylist()
+    rows = sample.select(text, label).transform(map_in_arrow, run, f"at binary, counts binary, label {kind}").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["at"], r["counts"], str(r["label"])))
     rng = np.random.default_rng(11)
     rows = [rows[k] for k in rng.permutation(len(rows))]

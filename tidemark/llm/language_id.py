@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import map_in_arrow, table
 from tidemark.llm.features import codes, collected, document_frequencies, grams, inverse_frequencies, mod_of_crc32, share_of, sparse
 
 BITS = 15
@@ -121,7 +121,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             more = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *more], names=[*kept, "lang_pred", "score"])
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, text).transform(map_in_arrow, run, schema)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

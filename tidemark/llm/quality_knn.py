@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import table
+from tidemark.llm.common import map_in_arrow, table
 from tidemark.llm.features import codes, collected, document_frequencies, grams, inverse_frequencies, mod_of_crc32, share_of, sparse
 
 BITS = 12
@@ -170,7 +170,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = own.vote(np.array(vectors, dtype=np.float32).reshape(len(vectors), own.basis.shape[1]))
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(found, pa.float64())], names=[*kept, "score"])
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, text).transform(map_in_arrow, run, schema)
 
 
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

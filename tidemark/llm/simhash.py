@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, map_in_arrow, table
 from tidemark.llm.components import components
 
 BITS = 64
@@ -75,7 +75,7 @@ def fingerprints(df: DataFrame, text: str = "text", width: int = 4, out: str = "
             found = [signed(fingerprint(x.as_py(), width)) for x in batch.column(batch.schema.get_field_index(text))]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(found, pa.int64())], names=[*kept, out])
 
-    return df.select(*kept, text).mapInArrow(run, schema)
+    return df.select(*kept, text).transform(map_in_arrow, run, schema)
 
 
 def forest(nodes: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def _forests(groups: DataFrame, radius: int) -> DataFrame:
             ends = [np.concatenate([x[k] for x in found] or [np.zeros(0, np.uint64)]).view(np.int64) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b"])
 
-    return groups.mapInArrow(run, "a long, b long")
+    return groups.transform(map_in_arrow, run, "a long, b long")
 
 
 def _dealt(nodes: DataFrame, fingerprints: tuple[str, ...], radius: int, more: tuple[str, ...] = ()) -> DataFrame:
@@ -215,7 +215,7 @@ def profiles(docs: DataFrame, width: int) -> DataFrame:
             views = [pa.array([x[1][v] for x in found], pa.int64()) for v in range(len(VIEWS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *views, pa.array([x[2] for x in found], pa.binary())], names=schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return docs.select("doc_id", "text").transform(map_in_arrow, run, schema)
 
 
 def spanning_tree(views: np.ndarray) -> list[tuple[int, int]]:
@@ -250,7 +250,7 @@ def proposed(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame
                     b.append(max(names[k], names[m]))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    trees = _groups(dealt, counts, block, F.struct("fp", *VIEWS)).mapInArrow(run, "a long, b long")
+    trees = _groups(dealt, counts, block, F.struct("fp", *VIEWS)).transform(map_in_arrow, run, "a long, b long")
     return counts.where("n = 2").select("a", "b").union(trees).distinct()
 
 
@@ -265,7 +265,7 @@ def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
             held = ((x == y) & (x > 0)).sum(axis=1) >= similarity * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
             yield batch.select(["a", "b"]).filter(pa.array(held))
 
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    return both.select("a", "b", "x", "y").transform(map_in_arrow, run, "a long, b long")
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:

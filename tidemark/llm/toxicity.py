@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import keep_rows, table
+from tidemark.llm.common import keep_rows, map_in_arrow, table
 from tidemark.llm.features import share_of
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -172,7 +172,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[
                 at, v = sparse_words(batch.column(0)[k].as_py() or "")
                 yield pa.RecordBatch.from_arrays([pa.array([at.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), batch.column(1).slice(k, 1)], names=["at", "v", "label"])
 
-    table_ = chosen.select("text", "label").mapInArrow(run, "at binary, v binary, label int").toArrow()
+    table_ = chosen.select("text", "label").transform(map_in_arrow, run, "at binary, v binary, label int").toArrow()
     rows = sorted(table_.to_pylist(), key=lambda r: (r["at"], r["v"], r["label"]))
     return [(np.frombuffer(r["at"], np.int64), np.frombuffer(r["v"], np.float32)) for r in rows], np.array([r["label"] for r in rows], dtype=np.int64)
 
@@ -208,7 +208,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             more = [pa.array(severity), pa.array(any_grade), pa.array(any_grade >= 0.5)]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *more], names=[*kept, *made])
 
-    return docs.select(*kept, text).mapInArrow(run, schema)
+    return docs.select(*kept, text).transform(map_in_arrow, run, schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
