@@ -32,6 +32,8 @@ from tidemark.llm.components import components
 
 BITS = 64
 BLOCK = 1024
+#: Rows of tables that a task makes, about.
+TASK_ROWS = 1_000_000
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -109,9 +111,13 @@ def _forests(groups: DataFrame, radius: int) -> DataFrame:
 
 
 def _dealt(nodes: DataFrame, fingerprints: tuple[str, ...], radius: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """nodes once for each table of each fingerprint, as (t, key, fp, more)."""
+    """nodes once for each table of each fingerprint, as (t, key, fp, more).
+
+    Nodes are few bytes and become many rows, so they are first dealt to tasks by the rows they will make.
+    """
     masks = covering_masks(radius)
     tables = [F.struct(F.lit(v * len(masks) + k).cast("short").alias("t"), F.col(c).bitwiseAND(F.lit(signed(m))).alias("key")) for v, c in enumerate(fingerprints) for k, m in enumerate(masks)]
+    nodes = nodes.repartition(max(1, -(-nodes.count() * len(tables) // TASK_ROWS)), "fp")
     return nodes.select("fp", *more, F.explode(F.array(*tables)).alias("at")).select("at.t", "at.key", "fp", *more)
 
 
@@ -158,7 +164,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     has none. Repeated rows stay repeated; an empty table gives an empty result.
     """
     rows = cut(fingerprints(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width=width))
-    return classes(rows, links(rows.select("fp").distinct(), radius)).select("doc_id", "fp", "component_id")
+    return classes(rows, links(cut(rows.select("fp").distinct()), radius)).select("doc_id", "fp", "component_id")
 
 
 VIEWS = ("v0", "v1", "v2")
@@ -276,7 +282,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     rows = cut(profiles(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width))
     nodes = cut(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in (*VIEWS, "sketch")]))
-    edges = alike(proposed(nodes.drop("sketch")), nodes, similarity)
+    edges = alike(proposed(nodes.select("fp", *VIEWS)), nodes, similarity)
     return classes(rows.select("doc_id", "fp"), edges)
 
 
