@@ -158,3 +158,31 @@ def test_pairs_of_blocks_propose_enough_to_connect(spark):
     for block in (16, 1024):
         found = {r.node: r.component for r in components(simhash.proposed(nodes, block=block)).collect()}
         assert set(found.values()) == {0} and len(found) == 120
+
+
+def test_links_that_a_tree_misses_are_found_in_the_bucket(spark):
+    # one bucket; by fingerprints the tree is 1-2-3, by sketches only 1 and 3 are alike
+    def sketch(seed):
+        return np.random.default_rng(seed).integers(1, 2**16, simhash.BINS).astype("<u2").tobytes()
+
+    rows = [(1, 0, 0, 0, sketch(1)), (2, 1, 1, 1, sketch(2)), (3, 3, 3, 3, sketch(1))]
+    nodes = spark.createDataFrame(rows, "fp long, v0 long, v1 long, v2 long, sketch binary")
+    assert sorted(tuple(r) for r in simhash.proposed(nodes.drop("sketch")).collect()) == [(1, 2), (2, 3)]
+    assert {r.node: r.component for r in components(simhash.alike_links(nodes, 0.8)).collect()} == {1: 1, 3: 1}
+
+
+def test_alike_links_equal_all_pairs_of_a_bucket_in_blocks(spark):
+    rng = np.random.default_rng(8)
+    base = [rng.integers(1, 2**16, simhash.BINS).astype("<u2") for _ in range(9)]
+    rows = []
+    for k in range(150):
+        own = base[rng.integers(9)].copy()
+        own[rng.choice(simhash.BINS, int(rng.integers(0, 50)), replace=False)] = rng.integers(1, 2**16)
+        rows.append((k, *[1 << int(rng.integers(0, 62)) for _ in range(3)], own.tobytes()))
+    sketches = [np.frombuffer(r[4], "<u2") for r in rows]
+    tops = brute_components(range(150), lambda a, b: (sketches[a] == sketches[b]).sum() >= 0.8 * simhash.BINS)
+    nodes = spark.createDataFrame(rows, "fp long, v0 long, v1 long, v2 long, sketch binary")
+    for block in (16, 1024):
+        found = {r.node: r.component for r in components(simhash.alike_links(nodes, 0.8, block=block)).collect()}
+        groups = lambda of: {frozenset(k for k in range(150) if of[k] == t) for t in set(of)}
+        assert groups([found.get(k, k) for k in range(150)]) == groups(tops)

@@ -12,22 +12,25 @@ blocks a group of its own, so no group is larger than about two blocks and no pa
 ``near_duplicates`` links fingerprints within a radius. ``similar_documents`` links texts by the similarity of their
 shingle sets: there fingerprints only propose pairs. Edits of a few words move many shingles but few words, so texts of
 a similarity of 0.8 are about five bits apart in a fingerprint of distinct words; three such fingerprints propose with a
-recall above 0.95, and a sketch of the shingle sets decides. Of a bucket's pairs those of a minimum spanning tree by
-distance are proposed, which connect whatever closer pairs would connect.
+recall above 0.95, and a sketch of the shingle sets decides. Of a larger bucket the pairs of a minimum spanning tree by
+distance are tested first; they join most of what is alike. A bucket that they leave in more than one component is then
+tested pair by pair where components differ, and yields a spanning forest of what the sketches accept: no pair that
+meets in a bucket goes without a verdict or a path of accepted links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, map_in_arrow, table
+from tidemark.llm.common import cut, map_in_arrow, table, written
 from tidemark.llm.components import components
 
 BITS = 64
@@ -240,24 +243,43 @@ def spanning_tree(views: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def proposed(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b) of nodes (fp, v0, v1, v2) that meet in a table of a view."""
+def _meetings(nodes: DataFrame, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of each bucket of two nodes; (gid, items) of each larger one, or pair of its blocks.
+
+    items are (fp, near), near the other end of an edge of the group's spanning tree or null; gid is a hash of the members.
+    """
     dealt = _dealt(nodes, VIEWS, radius, VIEWS)
     counts = cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
+            gids, ends, fps, near, bare = [], [0], [], [], []
             for x in batch.column(0):
                 part = x.values
                 names = part.field(0).to_numpy()
+                other, alone = np.zeros(len(names), dtype=np.int64), np.ones(len(names), dtype=bool)
                 for k, m in spanning_tree(np.stack([part.field(v + 1).to_numpy() for v in range(len(VIEWS))], axis=1).view(np.uint64)):
-                    a.append(min(names[k], names[m]))
-                    b.append(max(names[k], names[m]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                    other[m], alone[m] = names[k], False
+                gids.append(signed(xxhash.xxh64_intdigest(np.sort(names).tobytes())))
+                ends.append(ends[-1] + len(names))
+                fps, near, bare = [*fps, names], [*near, other], [*bare, alone]
+            if gids:
+                both = [pa.array(np.concatenate(fps)), pa.array(np.concatenate(near), mask=np.concatenate(bare))]
+                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(both, names=["fp", "near"]))
+                yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), items], names=["gid", "items"])
+
+    groups = _groups(dealt, counts, block, F.struct("fp", *VIEWS)).transform(map_in_arrow, run, "gid long, items array<struct<fp: long, near: long>>")
+    return counts.where("n = 2").select("a", "b"), written(groups, "groups")
+
 
-    trees = _groups(dealt, counts, block, F.struct("fp", *VIEWS)).transform(map_in_arrow, run, "a long, b long")
-    return counts.where("n = 2").select("a", "b").union(trees).distinct()
+def _first_pairs(twos: DataFrame, groups: DataFrame) -> DataFrame:
+    trees = groups.select(F.inline("items")).where("near is not null")
+    return twos.union(trees.select(F.least("fp", "near"), F.greatest("fp", "near"))).distinct()
+
+
+def proposed(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """Distinct pairs (a, b) of nodes (fp, v0, v1, v2) that meet in a table of a view, or of larger buckets a tree."""
+    return _first_pairs(*_meetings(nodes, radius, block))
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -274,6 +296,51 @@ def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return both.select("a", "b", "x", "y").transform(map_in_arrow, run, "a long, b long")
 
 
+def accepted_forest(names: np.ndarray, tops: np.ndarray, sketches: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges of alike sketches that connect, with the components in tops, what all alike pairs of names would connect."""
+    tops, filled, found = tops.copy(), sketches > 0, []
+    for k in range(len(names)):
+        rest = k + 1 + np.flatnonzero(tops[k + 1 :] != tops[k])
+        if len(rest):
+            agree = ((sketches[rest] == sketches[k]) & filled[k]).sum(axis=1)
+            held = agree >= similarity * np.maximum(1, (filled[rest] | filled[k]).sum(axis=1))
+            for m in rest[held].tolist():
+                if tops[m] != tops[k]:
+                    found.append((int(names[k]), int(names[m])))
+                    tops[tops == tops[m]] = tops[k]
+    return found
+
+
+def _rest_of_groups(groups: DataFrame, tops: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Edges (a, b) that groups of more than one component (fp, top) still hold."""
+    members = groups.select("gid", F.inline("items")).select("gid", "fp").distinct()
+    members = members.join(tops, "fp", "left").select("gid", "fp", F.coalesce("top", "fp").alias("top"))
+    own = Window.partitionBy("gid")
+    mixed = cut(members.withColumn("least", F.min("top").over(own)).withColumn("most", F.max("top").over(own)).where("least <> most").select("gid", "fp", "top"))
+    # streamed in order of groups, so that a task holds the sketches of one
+    rows = mixed.join(nodes.select("fp", "sketch"), "fp").select("gid", "fp", "top", "sketch").repartition("gid").sortWithinPartitions("gid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def members_of() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+
+        for _, group in groupby(members_of(), key=lambda r: r[0]):
+            _, names, tops, sketches = zip(*group, strict=True)
+            known = np.frombuffer(b"".join(sketches), dtype="<u2").reshape(-1, BINS)
+            if found := accepted_forest(np.array(names), np.array(tops), known, similarity):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
+
+    return rows.transform(map_in_arrow, run, "a long, b long")
+
+
+def alike_links(nodes: DataFrame, similarity: float, radius: int = 4, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) that connect all pairs of nodes (fp, v0, v1, v2, sketch) that meet in a bucket and are alike."""
+    twos, groups = _meetings(nodes.drop("sketch"), radius, block)
+    tops = cut(components(alike(_first_pairs(twos, groups), nodes, similarity)).select(F.col("node").alias("fp"), F.col("component").alias("top")))
+    return tops.select(F.col("fp").alias("a"), F.col("top").alias("b")).union(_rest_of_groups(groups, tops, nodes, similarity))
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, fp, component_id) for every row; links join texts whose sets of shingles are that similar.
 
@@ -282,8 +349,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """
     rows = cut(profiles(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width))
     nodes = cut(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in (*VIEWS, "sketch")]))
-    edges = alike(proposed(nodes.select("fp", *VIEWS)), nodes, similarity)
-    return classes(rows.select("doc_id", "fp"), edges)
+    return classes(rows.select("doc_id", "fp"), alike_links(nodes, similarity))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
