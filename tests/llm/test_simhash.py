@@ -186,3 +186,27 @@ def test_alike_links_equal_all_pairs_of_a_bucket_in_blocks(spark):
         found = {r.node: r.component for r in components(simhash.alike_links(nodes, 0.8, block=block)).collect()}
         groups = lambda of: {frozenset(k for k in range(150) if of[k] == t) for t in set(of)}
         assert groups([found.get(k, k) for k in range(150)]) == groups(tops)
+
+
+def test_short_texts_with_a_word_more_are_joined(spark):
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(5000)]
+    texts = []
+    for n in (10, 12, 15, 20, 25, 30):
+        for _ in range(40):
+            own = rng.sample(words, n)
+            texts += [" ".join(own), " ".join([*own, "extra" + rng.choice(words)])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
+    assert all(got[k] == got[k + 1] == k for k in range(0, len(texts), 2))
+
+
+def test_prefixes_of_similar_sets_share_a_hash():
+    rng = np.random.default_rng(12)
+    for n in (1, 2, 5, 6, 10, 11, 40, 333):
+        for _ in range(50):
+            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
+            gone, more = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 4 + 1))
+            b = np.unique(np.concatenate([a[rng.permutation(n)[gone:]], rng.integers(0, 2**64, more, dtype=np.uint64)]))
+            if n - gone >= 0.8 * (n + more):
+                assert set(simhash.prefix_of(a, 0.8).tolist()) & set(simhash.prefix_of(b, 0.8).tolist())

@@ -16,6 +16,10 @@ recall above 0.95, and a sketch of the shingle sets decides. Of a larger bucket
 distance are tested first; they join most of what is alike. A bucket that they leave in more than one component is then
 tested pair by pair where components differ, and yields a spanning forest of what the sketches accept: no pair that
 meets in a bucket goes without a verdict or a path of accepted links.
+
+In texts of few words one word moves many bits of a fingerprint. Texts of at most ``SHORT`` distinct words therefore
+also meet by a prefix filter: of n shingles, two sets of similarity s or more share one of the least n - s n + 1 of each
+by any order (here of their hashes), so such pairs meet with certainty.
 """
 
 from __future__ import annotations
@@ -174,6 +178,8 @@ VIEWS = ("v0", "v1", "v2")
 BINS = 256
 #: Differing bits of all views beyond which a pair isn't worth a look at its sketches.
 FAR = 44
+#: Distinct words up to which a text also meets others by the least of its shingles; above, fingerprints propose alone.
+SHORT = 100
 
 
 def bits_of(hashes: np.ndarray) -> int:
@@ -191,15 +197,21 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def profile(text: str | None, width: int) -> tuple[int, list[int], bytes]:
-    """(hash of the words, a fingerprint of the distinct words for each view, sketch of the shingles).
+def prefix_of(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """The least hashes of a set, as signed longs: sets of that similarity share one of them."""
+    own = np.unique(hashes)
+    return own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1].view(np.int64)
+
+
+def profile(text: str | None, width: int, similarity: float) -> tuple[int, list[int], bytes, np.ndarray]:
+    """(hash of the words, a fingerprint of the distinct words for each view, sketch of the shingles, prefix).
 
-    A sketch holds for each of BINS classes of shingle hashes 16 bits of the least hash, zero for an empty class. Fewer
+    The prefix is empty in texts of more than SHORT distinct words. A sketch holds for each of BINS classes of shingle hashes 16 bits of the least hash, zero for an empty class. Fewer
     words than a shingle has are one shingle; no words have an empty sketch.
     """
     words = (text or "").encode().lower().split()
     digest = xxhash.xxh64_intdigest
-    sketch = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    sketch, prefix = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     if words:
         own = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
         n = max(1, len(words) - width + 1)
@@ -208,21 +220,23 @@ def profile(text: str | None, width: int) -> tuple[int, list[int], bytes]:
             h = mixed(h + own[k : k + n], k + 1)
         np.minimum.at(sketch, (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(8))
         own = np.unique(own)
+        if len(own) <= SHORT:
+            prefix = prefix_of(h, similarity)
     else:
         own = np.zeros(0, dtype=np.uint64)
     short = np.where(sketch == np.iinfo(np.uint64).max, 0, (sketch & np.uint64(0xFFFF)) | np.uint64(1)).astype("<u2")
-    return signed(digest(b" ".join(words), 7)), [bits_of(mixed(own, v + 50)) for v in range(len(VIEWS))], short.tobytes()
+    return signed(digest(b" ".join(words), 7)), [bits_of(mixed(own, v + 50)) for v in range(len(VIEWS))], short.tobytes(), prefix
 
 
-def profiles(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, fp, v0, v1, v2, sketch) of every row of docs (doc_id, text)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType(), False), *(T.StructField(v, T.LongType(), False) for v in VIEWS), T.StructField("sketch", T.BinaryType(), False)])
+def profiles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """(doc_id, fp, v0, v1, v2, sketch, prefix) of every row of docs (doc_id, text)."""
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType(), False), *(T.StructField(v, T.LongType(), False) for v in VIEWS), T.StructField("sketch", T.BinaryType(), False), T.StructField("prefix", T.ArrayType(T.LongType()), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profile(x.as_py(), width) for x in batch.column(1)]
+            found = [profile(x.as_py(), width, similarity) for x in batch.column(1)]
             views = [pa.array([x[1][v] for x in found], pa.int64()) for v in range(len(VIEWS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *views, pa.array([x[2] for x in found], pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *views, pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select("doc_id", "text").transform(map_in_arrow, run, schema)
 
@@ -249,6 +263,8 @@ def _meetings(nodes: DataFrame, radius: int, block: int) -> tuple[DataFrame, Dat
     items are (fp, near), near the other end of an edge of the group's spanning tree or null; gid is a hash of the members.
     """
     dealt = _dealt(nodes, VIEWS, radius, VIEWS)
+    if "prefix" in nodes.columns:
+        dealt = dealt.union(nodes.select(F.lit(-1).cast("short").alias("t"), F.explode("prefix").alias("key"), "fp", *VIEWS))
     counts = cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,7 +351,7 @@ def _rest_of_groups(groups: DataFrame, tops: DataFrame, nodes: DataFrame, simila
 
 
 def alike_links(nodes: DataFrame, similarity: float, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all pairs of nodes (fp, v0, v1, v2, sketch) that meet in a bucket and are alike."""
+    """Edges (a, b) that connect all pairs of nodes (fp, v0, v1, v2, sketch and perhaps prefix) that meet in a bucket and are alike."""
     twos, groups = _meetings(nodes.drop("sketch"), radius, block)
     tops = cut(components(alike(_first_pairs(twos, groups), nodes, similarity)).select(F.col("node").alias("fp"), F.col("component").alias("top")))
     return tops.select(F.col("fp").alias("a"), F.col("top").alias("b")).union(_rest_of_groups(groups, tops, nodes, similarity))
@@ -347,8 +363,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     The similarity of two sets is their common part over their union, as sketches of ``BINS`` classes give it. Equal
     word sequences (texts without a word among them) are linked. fp is the hash of the word sequence.
     """
-    rows = cut(profiles(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width))
-    nodes = cut(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in (*VIEWS, "sketch")]))
+    rows = cut(profiles(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, similarity))
+    nodes = cut(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in (*VIEWS, "sketch", "prefix")]))
     return classes(rows.select("doc_id", "fp"), alike_links(nodes, similarity))
 
 
