@@ -35,6 +35,7 @@ def one(rows):
     return r.value
 
 
+# Fixed values of a known example: a counter by status and a gauge.
 SMOKE = [
     ("req_total", {"job": "api", "status": "200"}, [(0, 0), (60_000, 60), (120_000, 120)]),
     ("req_total", {"job": "api", "status": "500"}, [(0, 0), (60_000, 12), (120_000, 24)]),
@@ -253,6 +254,69 @@ def test_sorting_queries_shuffle_samples_once(spark):
     from tidemark.plans.catalog import engine as events
 
     e = events(spark, "/root/testdata/sf0.001")
-    for text, exchanges in (("click[1d]", 1), ("rate(click[1d])", 1), ("irate(click[1d])", 1), ("sum by (shard) (rate(click[1d]))", 2), ("sum_over_time(click[1d])", 2)):
+    # samples once, by series and bucket; the others are of partial results, combined before
+    for text, exchanges in (("click[1d]", 1), ("rate(click[1d])", 2), ("irate(click[1d])", 1), ("sum by (shard) (rate(click[1d]))", 3), ("sum_over_time(click[1d])", 2)):
         plan = e.query_range(text, AT, AT + DAY, STEP)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning") == exchanges, (text, plan)
+        assert plan.count("Exchange hashpartitioning") == exchanges and plan.count("REPARTITION_BY_COL") == (text[:3] != "sum" or "rate" in text), (text, plan)
+
+
+def test_one_hot_series_is_the_work_of_many_tasks(spark):
+    from tidemark.operators.grid import bucket_of, in_buckets
+
+    rows = spark.range(200_000).selectExpr("'x' AS metric", "map() AS labels", "id * 1000 AS ts", "CAST(id AS DOUBLE) AS value")
+    grid = Grid(0, 200_000_000, 300_000)
+    dealt = in_buckets(FrameSource(rows).scan(), bucket_of(grid, 300_000), 300_000, 300_000)
+    assert dealt.select("_b").distinct().count() > 80 and dealt.count() < 1.3 * 200_000
+    rate = Engine(spark, FrameSource(rows), Config()).query_range("rate(x[5m])", grid.start, grid.end, grid.step)
+    assert rate.where("ts > 0 AND abs(value - 1) > 1e-9").count() == 0 and rate.count() == 667 - 1
+
+
+def test_long_windows_make_rows_with_samples_and_points(spark):
+    rows = spark.range(20_000).selectExpr("'x' AS metric", "map() AS labels", "id * 1000 AS ts", "CAST(id % 7 AS DOUBLE) AS value")
+    e = Engine(spark, FrameSource(rows), Config())
+    for text in ("sum_over_time(x[1h])", "rate(x[1h])", "stddev_over_time(x[1h])"):
+        found = e.query_range(text, 0, 20_000_000, 10_000)
+        assert found.count() >= 2000
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "sequence" in plan  # blanks of blocks, not points of samples
+        nodes = e.query_range(text, 0, 20_000_000, 10_000)
+        nodes.write.format("noop").mode("overwrite").save()
+        made = _rows_of(nodes, "Generate")
+        assert max(made) <= 20_000 * 1.3 + 4 * 2001, (text, made)
+
+
+def _rows_of(df, name):
+    """Output rows of the operators of a name in a query that ran, by its metrics."""
+    found, stack = [], [df._jdf.queryExecution().executedPlan()]
+    df._jdf.queryExecution().executedPlan().executeCollect()
+    while stack:
+        node = stack.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            stack.append(node.executedPlan())
+            continue
+        if "QueryStage" in node.nodeName():
+            stack.append(node.plan())
+            continue
+        if node.nodeName().startswith(name):
+            metric = node.metrics().get("numOutputRows")
+            found.append(metric.get().value())
+        children = node.children()
+        stack += [children.apply(k) for k in range(children.size())]
+    return found or [0]
+
+
+def test_long_windows_equal_short_ones_with_special_numbers(spark, monkeypatch):
+    from tidemark.functions import ranges
+
+    rng = random.Random(5)
+    odd = [NAN, INF, -INF, 0.0]
+    series = [("x", {"k": str(k)}, [(t, rng.choice(odd) if k % 3 == 0 and rng.random() < 0.1 else rng.random() * 50) for t in sorted(rng.sample(range(0, 300_000, 500), rng.choice([1, 2, 30, 200])))]) for k in range(12)]
+    e = Engine(spark, FrameSource(frame(spark, series).cache()), Config())
+    close = lambda a, b: a == b or math.isnan(a) and math.isnan(b) or abs(a - b) <= 1e-7 * max(1, abs(a), abs(b))
+    for name in ("avg_over_time", "max_over_time", "stddev_over_time", "rate"):
+        for width, step in ((20, 5), (60, 13)):
+            got = []
+            for limit in (10**9, 0):
+                monkeypatch.setattr(ranges, "MANY_POINTS", limit)
+                got.append(values(e.query_range(f"{name}(x[{width}s])", 10_000, 310_000, step * 1000)))
+            assert [x[:2] for x in got[0]] == [x[:2] for x in got[1]] and all(close(x[2], y[2]) for x, y in zip(*got, strict=True)), (name, width, step)

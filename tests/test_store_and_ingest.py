@@ -1,5 +1,6 @@
 import json
 import math
+import re
 import struct
 
 import pytest
@@ -9,7 +10,7 @@ from tidemark.plans import render
 from tidemark.plans.engine import Engine
 from tidemark.sources import ingest
 from tidemark.sources.model import SCHEMA
-from tidemark.sources.store import DAY, SampleStore, TooManySeries, upserted
+from tidemark.sources.store import DAY, SampleStore, TooManyBatches, TooManySeries, upserted
 
 
 def frame(spark, rows):
@@ -29,7 +30,8 @@ def test_later_batches_win_before_and_after_compaction(spark, tmp_path):
     for _ in range(2):
         assert points(store.scan("a")) == [(-DAY, 9.0), (10, 2.0)] and points(store.scan("b", 0, 19)) == [] and points(upserted(store)) == [(-DAY, 9.0), (10, 2.0), (20, 3.0)]
         store.compact()
-    assert len(store.batches()) == 1 and store.status() == {"batches": 1, "points": 3}
+    assert len(store.batches()) == 1 and store.status() == {"batches": 1, "points": 3, "series": 2}
+    assert store.vacuum() == 0 and store.vacuum(0, now=2**60) == 2 and points(upserted(store)) == [(-DAY, 9.0), (10, 2.0), (20, 3.0)]
     store.write(frame(spark, [("a", None, 10, 7.0)]))
     assert points(store.scan("a", 0)) == [(10, 7.0)]
     assert [(r.metric, r.series) for r in store.series_counts().orderBy("metric").collect()] == [("a", 1), ("b", 1)]
@@ -38,6 +40,114 @@ def test_later_batches_win_before_and_after_compaction(spark, tmp_path):
     assert [r.value for r in Engine(spark, store).query("a", 20).collect()] == [7.0]
 
 
+def test_two_writers_of_a_number_both_keep_their_batch(spark, tmp_path):
+    one, two = (SampleStore(spark, f"file://{tmp_path}/s", max_series=2) for _ in "ab")
+    one.write(frame(spark, [("a", {"k": "0"}, 1, 1.0)]))
+    take, raced = one.files.take, []
+
+    def late(staged, name):
+        if not raced:  # between this writer's choice of a number and its rename, another one takes it
+            raced.append(two.write(frame(spark, [("a", {"k": "1"}, 2, 2.0)])))
+        return take(staged, name)
+
+    one.files.take = late
+    assert one.write(frame(spark, [("a", {"k": "0"}, 3, 3.0)])) == 3 and raced == [2]
+    assert points(SampleStore(spark, one.root).scan("a")) == [(1, 1.0), (2, 2.0), (3, 3.0)]
+    assert not [n for n, _ in one.files.listed(one.root) if n.startswith("_")]
+    # the cap is checked anew: each alone would fit, both don't
+    raced.clear()
+    two.max_series = one.max_series = 3
+    with pytest.raises(TooManySeries):
+        late2 = one.write
+        one.files.take = lambda staged, name: (raced or raced.append(two.write(frame(spark, [("a", {"k": "2"}, 4, 4.0)]))), take(staged, name))[1]
+        late2(frame(spark, [("a", {"k": "3"}, 5, 5.0)]))
+    assert one.batches() == [1, 2, 3, 4] and not [n for n, _ in one.files.listed(one.root) if n.startswith("_")]
+
+
+def test_a_write_during_compaction_stays_after_it(spark, tmp_path):
+    store, other = (SampleStore(spark, f"file://{tmp_path}/s") for _ in "ab")
+    for v in (1.0, 2.0):
+        store.write(frame(spark, [("a", None, 10, v), ("a", None, 20 + int(v), v)]))
+    merge = store._merge
+
+    def slow(*args):
+        other.write(frame(spark, [("a", None, 10, 9.0)]))
+        return merge(*args)
+
+    store._merge = slow
+    assert store.compact() == 2 and store.spans() == [(1, 2), (3, 3)]
+    want = [(10, 9.0), (21, 1.0), (22, 2.0)]
+    assert points(store.scan("a")) == want
+    store._merge = merge
+    assert other.compact() == 2 and points(store.scan("a")) == want and store.vacuum(0, now=2**60) == 4 and points(store.scan("a")) == want
+    # another compaction was first: nothing changes and nothing is left behind
+    store.write(frame(spark, [("a", None, 30, 1.0)]))
+    spans = store.spans()
+    other.compact()
+    store.spans = lambda: spans
+    assert store.compact() == 0 and not [n for n, _ in store.files.listed(store.root) if n.startswith("_")]
+
+
+def test_tiers_merge_neighbours_of_similar_size(spark, tmp_path):
+    store = SampleStore(spark, f"file://{tmp_path}/s")
+    store.write(spark.range(60_000).selectExpr("'a' AS metric", "map('k', CAST(id % 50 AS STRING)) AS labels", "id AS ts", "rand(1) AS value"))
+    for k in range(4):
+        store.write(frame(spark, [("a", {"k": "1"}, k, float(k))]))
+    assert store.compact_tiers() == 4 and store.spans() == [(1, 1), (2, 5)] and store.compact_tiers() == 0
+    assert store.scan("a").frame.count() == 60_000 + 3 and store.catalog().count() == 50
+    assert points(store.scan("a", 0, 3, lambda s: s.label("k") == "1")) == [(0, 0.0), (1, 1.0), (2, 2.0), (3, 3.0)]
+
+
+def test_rows_of_a_batch_keep_their_order_in_any_number_of_partitions(spark, tmp_path):
+    store = SampleStore(spark, f"file://{tmp_path}/s")
+    store.write(spark.range(0, 200, 1, 200).selectExpr("'a' AS metric", "map() AS labels", "0L AS ts", "CAST(id AS DOUBLE) AS value"))
+    assert points(store.scan("a")) == [(0, 199.0)]
+    store.write(frame(spark, [("b", None, 0, 1.0)]))
+    store.compact()
+    assert points(store.scan("a")) == [(0, 199.0)]
+
+
+def test_listings_read_no_samples_and_label_filters_reach_the_scan(spark, tmp_path):
+    store = SampleStore(spark, f"file://{tmp_path}/s")
+    store.write(spark.range(3000).selectExpr("'a' AS metric", "map('k', CAST(id % 300 AS STRING)) AS labels", "id AS ts", "1D AS value"))
+    engine = Engine(spark, store)
+    assert [r.name for r in engine.label_names().collect()] == ["__name__", "k"] and engine.label_values("k").count() == 300
+    for listing in (engine.label_names(), engine.label_values("k"), store.series_counts()):
+        plan = listing._jdf.queryExecution().executedPlan().toString()
+        assert "kind=points" not in plan and "value:double" not in plan
+    plan = engine.query('a{k=~"1.?"}', 3000)._jdf.queryExecution().optimizedPlan().toString()
+    scan = re.search(r"Filter \((.*)\n.*Relation \[", plan)  # what stands right above the relation goes to the files
+    assert scan and re.search(r"series#\d+ IN", scan[1]) and "from_json" not in scan[1]
+    assert engine.query('count(a{k=~"1.?"})', 3000).collect()[0].value == 11 and engine.query('count(a{k!="7"})', 3000).collect()[0].value == 299
+
+
+def test_snapshot_and_restore(spark, tmp_path):
+    store, copy = SampleStore(spark, f"file://{tmp_path}/s"), f"file://{tmp_path}/copy"
+    for v in (1.0, 2.0):
+        store.write(frame(spark, [("a", None, 10, v), ("b", {"k": "v"}, 20, v)]))
+    store.snapshot(copy)
+    with pytest.raises(ValueError):
+        store.snapshot(copy)
+    store.write(frame(spark, [("a", None, 10, 5.0), ("c", None, 1, 1.0)]))
+    assert store.restore(copy) == 4 and points(upserted(store)) == [(10, 2.0), (20, 2.0)]
+    assert sorted(r.metric for r in store.catalog().collect()) == ["a", "b"]
+    store.write(frame(spark, [("a", None, 10, 7.0)]))
+    assert points(store.scan("a")) == [(10, 7.0)] and store.compact() == 2 and points(store.scan("a")) == [(10, 7.0)]
+    with pytest.raises(ValueError):
+        store.restore(f"file://{tmp_path}/nothing")
+
+
+def test_writes_wait_for_compaction(spark, tmp_path):
+    store = SampleStore(spark, f"file://{tmp_path}/s", max_batches=2)
+    for k in range(2):
+        store.write(frame(spark, [("a", None, k, 1.0)]))
+    with pytest.raises(TooManyBatches):
+        store.write(frame(spark, [("a", None, 9, 1.0)]))
+    store.compact()
+    store.write(frame(spark, [("a", None, 9, 1.0)]))
+    assert len(points(store.scan("a"))) == 3
+
+
 def test_days_prune_the_scan(spark, tmp_path):
     store = SampleStore(spark, f"file://{tmp_path}/s")
     store.write(frame(spark, [("a", None, k * DAY, 1.0) for k in range(5)]))
@@ -49,7 +159,8 @@ def test_retention_drops_days_that_ended_before(spark, tmp_path):
     store = SampleStore(spark, f"file://{tmp_path}/s")
     store.write(frame(spark, [("a", None, k * DAY + 5, float(k)) for k in range(6)]))
     assert store.retain(10 * DAY, 0) == 0
-    assert store.retain(6 * DAY, 2 * DAY + 1) == 4 and points(store.scan("a")) == [(4 * DAY + 5, 4.0), (5 * DAY + 5, 5.0)]
+    assert store.retain(6 * DAY, 2 * DAY - 5) == 4 and points(store.scan("a"))[0] == (4 * DAY + 5, 4.0)  # the day of the cut has a later sample
+    assert store.retain(6 * DAY, 2 * DAY - 5) == 0 and points(store.scan("a")) == [(4 * DAY + 5, 4.0), (5 * DAY + 5, 5.0)]
 
 
 def test_series_cap_takes_a_batch_whole_or_not_at_all(spark, tmp_path):

@@ -8,10 +8,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.aggregates import greatest, least
+from tidemark.operators import sliding
 from tidemark.operators.grid import Grid, each_point, neighbours
 from tidemark.sources.model import Labelled
 
-#: From how many grid points a sample reaches on it pays to sum up the samples of a step first.
+#: From how many grid points a sample reaches on windows are made of running aggregates (see operators.sliding). Sums run
+#: in another order there, so they may differ in their last digits.
 MANY_POINTS = 64
 
 SIMPLE: dict[str, Callable[[Column], Column]] = {
@@ -22,53 +24,44 @@ SIMPLE: dict[str, Callable[[Column], Column]] = {
     "max_over_time": greatest,
     "stddev_over_time": F.stddev_pop,
 }
-#: For the functions that partial results make up: the partial columns, and how they are put together.
-PARTIAL: dict[str, tuple[dict[str, Callable], Callable[[], Column]]] = {
-    "avg_over_time": ({"s": F.sum, "c": lambda v: F.count("*")}, lambda: F.sum("s") / F.sum("c")),
-    "sum_over_time": ({"s": F.sum}, lambda: F.sum("s")),
-    "count_over_time": ({"c": lambda v: F.count("*")}, lambda: F.sum("c").cast("double")),
-    "min_over_time": ({"s": least}, lambda: F.min("s")),
-    "max_over_time": ({"s": greatest}, lambda: F.max("s")),
+V = "value"
+#: The functions by what parts of a window are made of.
+PARTS: dict[str, Callable[[], sliding.Parts]] = {
+    "avg_over_time": lambda: sliding.sums({"s": F.sum(V), "c": F.count("*")}, lambda x: x("s") / x("c")),
+    "sum_over_time": lambda: sliding.sums({"s": F.sum(V)}, lambda x: x("s")),
+    "count_over_time": lambda: sliding.sums({"c": F.count("*").cast("double")}, lambda x: x("c")),
+    "min_over_time": lambda: sliding.commutative({"s": least(F.col(V))}, {"s": F.min}, F.least, lambda x: x("s")),
+    "max_over_time": lambda: sliding.commutative({"s": greatest(F.col(V))}, {"s": F.max}, F.greatest, lambda x: x("s")),
+    "stddev_over_time": lambda: sliding.spread(F.col(V)),
 }
-#: Functions of neighbouring samples, for which each series is sorted.
-NEIGHBOURLY = ("rate", "increase", "irate")
+#: Functions of neighbouring samples, for which each series is sorted: whether they look back and ahead.
+NEIGHBOURLY = {"rate": (True, False), "increase": (True, False), "irate": (True, True)}
+LAST = (False, True)
 NAMES = (*SIMPLE, *NEIGHBOURLY)
 
 
+def many(grid: Grid, width: int) -> bool:
+    return width // grid.step + 1 > MANY_POINTS and grid.points > 1
+
+
 def _over_time(name: str, samples: Labelled, grid: Grid, width: int) -> DataFrame:
     keys = ["metric", *samples.keys]
-    reach = width // grid.step + 1
-    if name in PARTIAL and reach > MANY_POINTS and grid.points > 1 and width % grid.step == 0:
-        return _by_steps(name, samples, grid, width)
+    if many(grid, width):
+        return sliding.over_blocks(samples.frame, keys, grid, width, PARTS[name]())
     rows = each_point(samples.frame, grid, F.col("ts"), F.col("ts") + width)
     return rows.groupBy(*keys, "n").agg(SIMPLE[name](F.col("value")).alias("value"))
 
 
-def _by_steps(name: str, samples: Labelled, grid: Grid, width: int) -> DataFrame:
-    """Sums up the samples of (point - step, point], then puts together the steps of each window.
-
-    A window is closed on the left, so samples at a point itself are summed up once more and count for the window that
-    begins there.
-    """
-    keys = ["metric", *samples.keys]
-    made, join = PARTIAL[name]
-    step = F.ceil((F.col("ts") - grid.start) / F.lit(grid.step)).cast("long")
-    rows = samples.frame.withColumn("step", step).withColumn("edge", F.col("ts") == grid.start + F.col("step") * F.lit(grid.step))
-    inner = rows.withColumn("edge", F.lit(False))
-    edges = rows.where("edge")
-    sums = inner.union(edges).groupBy(*keys, "step", "edge").agg(*[f(F.col("value")).alias(c) for c, f in made.items()])
-    at = F.lit(grid.start) + F.col("step") * F.lit(grid.step)
-    since = F.when(F.col("edge"), at + width).otherwise(at)
-    until = F.when(F.col("edge"), at + width).otherwise(at + width - grid.step)
-    return each_point(sums, grid, since, until).groupBy(*keys, "n").agg(join().alias("value"))
-
-
 def _increase(samples: Labelled, grid: Grid, width: int, bucket: int | None) -> DataFrame:
     """The sum of the steps up, a step down counting as a reset to zero; absent for fewer than two samples."""
     keys = ["metric", *samples.keys]
     v, p = F.col("value"), F.col("prev_value")
     up = F.when(~F.isnan(v) & ~F.isnan(p) & (v >= p), v - p).otherwise(v)
     rows = neighbours(samples, bucket).withColumn("up", F.when(F.col("prev_ts").isNotNull(), up))
+    if many(grid, width):
+        own, before = sliding.cell_of(F.col("ts"), grid, width), sliding.cell_of(F.col("prev_ts"), grid, width)
+        first = F.col("prev_ts").isNull() | (own[0] != before[0]) | (own[1] != before[1])
+        return sliding.over_blocks(rows, keys, grid, width, sliding.climbs(F.coalesce("up", F.lit(0.0)), first))
     rows = each_point(rows.drop("value", "prev_value", "next_ts"), grid, F.col("ts"), F.col("ts") + width)
     within = F.when(F.col("prev_ts") >= F.col("t") - width, F.col("up"))
     return rows.groupBy(*keys, "n").agg(F.sum(within).alias("value"), F.count("*").alias("_c")).where("_c >= 2").drop("_c")

@@ -62,17 +62,43 @@ def each_point(rows: DataFrame, grid: Grid, since: Column, until: Column) -> Dat
     return out.withColumn("t", grid.time(F.col("n")))
 
 
+#: A bucket of time is so many widths long at least, and a query is cut into so many buckets at most.
+WIDTHS, BUCKETS = 8, 1024
+
+
+def bucket_of(grid: Grid, width: int) -> int:
+    """The length of the buckets of time that the series of a query are sorted in, in milliseconds."""
+    return max(1, WIDTHS * width, -(-(grid.last - grid.start + width) // BUCKETS))
+
+
+def in_buckets(samples: Labelled, bucket: int, before: int, after: int) -> DataFrame:
+    """samples dealt by series and bucket of time, _b, with the neighbours that a bucket needs of the ones next to it.
+
+    A sample also goes to the next bucket if it is at most ``before`` earlier than that, and to the one before if it is
+    at most ``after`` later. So a series is many tasks' work, however hot it is, and each bucket can be sorted alone.
+    """
+    home = F.floor(F.col("ts") / F.lit(bucket)).cast("long")
+    ahead = F.when(F.col("ts") + before >= (home + 1) * F.lit(bucket), home + 1) if before else F.lit(None).cast("long")
+    back = F.when(F.col("ts") - after < home * F.lit(bucket), home - 1) if after else F.lit(None).cast("long")
+    rows = samples.frame.withColumn("_b", F.explode(F.array_compact(F.array(home, ahead, back))))
+    return rows.repartition("metric", *samples.keys, "_b")
+
+
 def neighbours(samples: Labelled, bucket: int | None = None) -> DataFrame:
     """The samples with prev_ts, prev_value and next_ts of their series, null at the ends.
 
-    With ``bucket`` (milliseconds) the sort runs within a series' buckets of time and is stitched over their edges by
-    one row a bucket, so that one hot series is no longer the work of one task.
+    Samples dealt by ``in_buckets`` (with _b) are sorted bucket by bucket, and only those at home in one are given; their
+    neighbours farther than what the buckets were dealt for are null. Otherwise, with ``bucket`` (milliseconds), of any
+    length, the sort runs within buckets and is stitched over their edges by one row a bucket.
     """
     keys = ["metric", *samples.keys]
-    if bucket is None:
-        order = Window.partitionBy(*keys).orderBy("ts")
-        previous = F.lag(F.struct("ts", "value")).over(order)
-        return samples.frame.withColumns({"_p": previous, "next_ts": F.lead("ts").over(order)}).selectExpr(*samples.frame.columns, "_p.ts AS prev_ts", "_p.value AS prev_value", "next_ts")
+    if bucket is None or "_b" in samples.frame.columns:
+        dealt = "_b" in samples.frame.columns
+        order = Window.partitionBy(*keys, *(["_b"] if dealt else [])).orderBy("ts")
+        rows = samples.frame.withColumns({"_p": F.lag(F.struct("ts", "value")).over(order), "next_ts": F.lead("ts").over(order)})
+        if dealt:
+            rows = rows.where(F.col("_b") == F.floor(F.col("ts") / F.lit(bucket)))
+        return rows.selectExpr(*[c for c in samples.frame.columns if c != "_b"], "_p.ts AS prev_ts", "_p.value AS prev_value", "next_ts")
     rows = samples.frame.withColumn("_b", F.floor(F.col("ts") / F.lit(bucket)))
     order = Window.partitionBy(*keys, "_b").orderBy("ts")
     rows = rows.withColumns({"_p": F.lag(F.struct("ts", "value")).over(order), "_n": F.lead("ts").over(order)})

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.aggregates import AGGREGATES
 from tidemark.functions.matchers import Matcher, Plan, label_filter, query_plan, remote_plan
-from tidemark.functions.ranges import NEIGHBOURLY, last_sample, over_range
-from tidemark.operators.grid import Grid, instant
+from tidemark.functions.ranges import LAST, NEIGHBOURLY, last_sample, over_range
+from tidemark.operators.dedup import Deal
+from tidemark.operators.grid import Grid, bucket_of, in_buckets, instant
 from tidemark.plans.promql import Aggregate, Call, Expr, Number, Selector, parse
 from tidemark.sources.model import NAME, Labelled, prom_labels
 
@@ -25,7 +26,11 @@ class WindowTooLong(ValueError):
 
 @dataclass(frozen=True)
 class Config:
-    """lookback and max_window in milliseconds; 0 lifts the cap. bucket splits hot series by time (see neighbours)."""
+    """lookback and max_window in milliseconds; 0 lifts the cap.
+
+    Series are sorted in buckets of time, of a length that follows from the query; bucket (milliseconds) sets another,
+    shorter than a window if need be, for single points over hot series (see neighbours).
+    """
 
     lookback: int = 300_000
     max_window: int = 90 * DAY
@@ -68,22 +73,33 @@ class Engine:
             return Labelled(points, ())
         if isinstance(expr, Selector):
             width = expr.width or self.config.lookback
-            samples = self._window(expr, grid, width, True)
-            return samples.with_frame(last_sample(samples, grid, width, self.config.bucket))
+            samples, bucket = self._sorted(expr, grid, width, LAST)
+            return samples.with_frame(last_sample(samples, grid, width, bucket))
         if isinstance(expr, Call):
-            samples = self._window(expr.argument, grid, expr.argument.width, expr.name in NEIGHBOURLY)
-            return samples.with_frame(over_range(expr.name, samples, grid, expr.argument.width, self.config.bucket))
+            width = expr.argument.width
+            if expr.name in NEIGHBOURLY:
+                samples, bucket = self._sorted(expr.argument, grid, width, NEIGHBOURLY[expr.name])
+            else:
+                samples, bucket = self._window(expr.argument, grid, width), None
+            return samples.with_frame(over_range(expr.name, samples, grid, width, bucket))
         return self._aggregate(expr, grid)
 
-    def _window(self, selector: Selector, grid: Grid, width: int, sorts: bool) -> Labelled:
-        """The samples that windows of the grid may hold; sorts tells that each series will be sorted."""
+    def _sorted(self, selector: Selector, grid: Grid, width: int, looks: tuple[bool, bool]) -> tuple[Labelled, int]:
+        """The samples of windows for a function of neighbours, and the length of the buckets that they are sorted in."""
+        if self.config.bucket is not None:
+            return self._window(selector, grid, width), self.config.bucket
+        bucket = bucket_of(grid, width)
+        before, after = (width if x else 0 for x in looks)
+        return self._window(selector, grid, width, lambda s: in_buckets(s, bucket, before, after)), bucket
+
+    def _window(self, selector: Selector, grid: Grid, width: int, deal: Deal | None = None) -> Labelled:
+        """The samples that windows of the grid may hold."""
         self.check_window(grid.start - width, grid.start)
-        together = sorts and self.config.bucket is None
-        return self.scan(query_plan(selector.metric, selector.matchers), grid.start - width, grid.last, together)
+        return self.scan(query_plan(selector.metric, selector.matchers), grid.start - width, grid.last, deal)
 
-    def scan(self, plan: Plan, lo: int, hi: int, together: bool = False) -> Labelled:
+    def scan(self, plan: Plan, lo: int, hi: int, deal: Deal | None = None) -> Labelled:
         where = (lambda _: F.lit(False)) if plan.impossible else plan.where
-        return self.source.scan(plan.metric, lo, hi, where, together)
+        return self.source.scan(plan.metric, lo, hi, where, deal)
 
     def _aggregate(self, expr: Aggregate, grid: Grid) -> Labelled:
         inner = self.vector(expr.inner, grid)
@@ -127,21 +143,18 @@ class Engine:
     # Labels and series
 
     def label_names(self) -> DataFrame:
-        """(name) of every label and ``__name__``, in order, over all time."""
-        samples = self.source.all()
-        if samples.names is None:
-            names = samples.frame.select("series").distinct().select(F.explode(F.map_keys(samples.labels())).alias("name"))
-        else:
-            there = samples.frame.agg(*[F.max(samples.label(n).isNotNull()).alias(n) for n in samples.names])
-            names = there.select(F.explode(F.array(*[F.when(F.col(n), F.lit(n)) for n in samples.names])).alias("name")).where("name is not null")
-        name = samples.frame.select(F.lit(NAME).alias("name")).limit(1)
+        """(name) of every label and ``__name__``, in order, over all time; of a store by its catalog alone."""
+        known = self.source.labelled_series()
+        pairs = F.map_keys(known.labels())
+        names = known.frame.select(F.explode(pairs).alias("name")) if known.names != () else known.frame.select(F.lit(NAME).alias("name")).limit(0)
+        name = known.frame.select(F.lit(NAME).alias("name")).limit(1)
         return names.union(name).distinct().orderBy("name")
 
     def label_values(self, name: str) -> DataFrame:
         """(value) of a label, in order and without the empty one; the metrics for ``__name__``."""
-        samples = self.source.all()
-        value = F.col("metric") if name == NAME else samples.label(name)
-        return samples.frame.select(value.alias("value")).where("value <> ''").distinct().orderBy("value")
+        known = self.source.labelled_series()
+        value = F.col("metric") if name == NAME else known.label(name)
+        return known.frame.select(value.alias("value")).where("value <> ''").distinct().orderBy("value")
 
     def series(self, selectors: list[tuple[str, dict[str, str]]], start: int, end: int, partial: bool = True) -> DataFrame:
         """(metric, labels) of the series that any selector matches and that have a sample in [start, end]."""
@@ -157,8 +170,9 @@ class Engine:
             return held
 
         metrics = {m for m, _ in selectors}
-        found = self.source.scan(metrics.pop() if len(metrics) == 1 else None, start, end, None)
-        rows = found.frame.where(where(found)).select("metric", *found.keys).distinct()
+        # whether a sample is there doesn't depend on which write of it holds: no upsert, and the labels are enough
+        found = self.source.scan(metrics.pop() if len(metrics) == 1 else None, start, end, where, upsert=False)
+        rows = found.frame.select("metric", *found.keys).distinct()
         return rows.select("metric", found.with_frame(rows).labels().alias("labels"))
 
     def metrics_series(self, names: list[str], start: int, end: int) -> DataFrame:

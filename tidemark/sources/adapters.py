@@ -11,8 +11,8 @@ from datetime import UTC, datetime, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.dedup import last_write_wins
-from tidemark.sources.model import Labelled, series_of
+from tidemark.operators.dedup import Deal, last_write_wins
+from tidemark.sources.model import Labelled, MapLabelled, series_of
 
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC).replace(tzinfo=None)
 #: Milliseconds that a TIMESTAMP_NTZ literal can hold here: years 1 to 9998.
@@ -34,7 +34,16 @@ class FrameSource:
         """Every sample, as stored (no upsert applied)."""
         return Labelled(self.frame.withColumn("series", series_of(F.col("labels"))).drop("labels"), None)
 
-    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None, together: bool = False) -> Labelled:
+    def labelled_series(self) -> Labelled:
+        """The label sets of each metric, for listings."""
+        found = self.all()
+        return found.with_frame(found.frame.select("metric", "series").distinct())
+
+    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None, deal: Deal | None = None, upsert: bool = True) -> Labelled:
+        """Samples of a metric in [lo, hi] whose labels fit, one row a point unless upsert is off.
+
+        deal is how a reader that sorts each series next wants the rows dealt (see last_write_wins).
+        """
         rows = self.frame
         if metric is not None:
             rows = rows.where(F.col("metric") == metric)
@@ -42,10 +51,12 @@ class FrameSource:
             rows = rows.where(F.col("ts") >= lo)
         if hi is not None:
             rows = rows.where(F.col("ts") <= hi)
-        found = Labelled(rows.withColumn("series", series_of(F.col("labels"))).drop("labels"), None)
         if where is not None:
-            found = found.with_frame(found.frame.where(where(found)))
-        return found if self.unique else last_write_wins(found, together)
+            rows = rows.where(where(MapLabelled(rows, None)))
+        found = Labelled(rows.withColumn("series", series_of(F.col("labels"))).drop("labels"), None)
+        if self.unique or not upsert:
+            return found.with_frame(deal(found)) if deal else found
+        return last_write_wins(found, deal)
 
 
 class TableSource:
@@ -69,7 +80,12 @@ class TableSource:
     def all(self) -> Labelled:
         return self._mapped(self.table)
 
-    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None, together: bool = False) -> Labelled:
+    def labelled_series(self) -> Labelled:
+        """The label sets of each metric, for listings: a combined aggregation over the label columns alone."""
+        found = self.all()
+        return found.with_frame(found.frame.select("metric", *found.keys).distinct())
+
+    def scan(self, metric: str | None = None, lo: int | None = None, hi: int | None = None, where: Where | None = None, deal: Deal | None = None, upsert: bool = True) -> Labelled:
         rows = self.table
         if metric is not None:
             rows = rows.where(self.metric == metric)
@@ -80,7 +96,7 @@ class TableSource:
         found = self._mapped(rows)
         if where is not None:
             found = found.with_frame(found.frame.where(where(found)))
-        return last_write_wins(found, together)
+        return last_write_wins(found, deal) if upsert else found
 
 
 def events_source(spark: SparkSession, sf_dir: str) -> TableSource:

@@ -63,6 +63,17 @@ class Labelled:
         return Labelled(frame, self.names)
 
 
+@dataclass(frozen=True)
+class MapLabelled(Labelled):
+    """Samples that still have their labels as a map, for predicates before the map becomes text."""
+
+    def label(self, name: str) -> Column:
+        return F.col("labels")[name]
+
+    def labels(self) -> Column:
+        return F.coalesce(F.col("labels"), F.create_map().cast(LABELS))
+
+
 def prom_labels(metric: Column, labels: Column) -> Column:
     """Labels with the metric as ``__name__``; a label of that name wins over the metric."""
     named = F.when(metric.isNotNull() & ~F.coalesce(F.map_contains_key(labels, F.lit(NAME)), F.lit(False)), F.create_map(F.lit(NAME), metric))
