@@ -93,120 +93,23 @@ def test_empty_table_and_one_row(spark):
     check(spark, [(1, "a b c d e", None, None)])
 
 
-def test_one_document_of_each_group_stays(spark):
-    text = " ".join(f"w{k}" for k in range(200))
-    rows = [(4, text, "a"), (2, text + " more", "b"), (9, "something else", None), (9, "something else", None)]
-    got = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    assert got.columns == ["doc_id", "text", "lang"]
-    assert sorted(r.doc_id for r in got.collect()) == [2, 9]
-
-
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(None, 3), (7, None), (9, 9), (100, 101)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{k: 0 for k in range(61)}, **{k: 100 for k in range(100, 160)}}
 
 
-def shingles(text, width=5):
-    words = (text or "").lower().split()
-    return {" ".join(words[k : k + width]) for k in range(max(1, len(words) - width + 1))} if words else set()
-
-
-def test_similar_documents_equal_brute_force(spark):
-    rng = random.Random(9)
-    words = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 6))) for _ in range(900)] + ["the", "of", "and"] * 40
-    texts = [" ".join(rng.choices(words, k=rng.randint(60, 500))) for _ in range(60)]
-    for k in range(200):
-        w = texts[rng.randrange(len(texts))].split()
-        for _ in range(rng.choice([0, 1, len(w) // 100, len(w) // 50, len(w) // 8])):
-            w[rng.randrange(len(w))] = rng.choice(words)
-        texts.append(rng.choice(BREAK).join(w))
-    texts += [None, "", "  ", "a b", "A b", "a b c"]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    sets = [shingles(t) for t in texts]
-    alike = lambda a, b, least: a == b or len(a & b) >= least * len(a | b) > 0
-    # what is surely similar is joined, what is surely not is apart; a sketch has an error of some hundredths between
-    sure = brute_components(sets, lambda a, b: alike(a, b, 0.87))
-    loose = brute_components(sets, lambda a, b: alike(a, b, 0.72))
-    assert all(got[k] == got[t] for k, t in enumerate(sure))
-    assert all(loose[k] == loose[t] for k, t in got.items())
-    assert len(set(sure)) > 60 and len(set(loose)) < len(texts) - 100
-    assert got[texts.index("a b")] == got[texts.index("A b")] != got[texts.index("a b c")] and len({got[k] for k, t in enumerate(texts) if not (t or "").strip()}) == 1
-
-
-def test_spanning_trees_connect_what_near_pairs_connect():
-    rng = np.random.default_rng(3)
-    for _ in range(20):
-        base = rng.integers(0, 2**63, size=(5, 3), dtype=np.uint64)
-        views = np.array([base[rng.integers(5)] ^ (np.uint64(1) << rng.integers(0, 63, 3).astype(np.uint64)) * np.uint64(rng.integers(0, 2)) for _ in range(40)])
-        distance = np.bitwise_count(views[:, None] ^ views[None]).sum(axis=2)
-        tree = simhash.spanning_tree(views)
-        for limit in (0, 3, 6, simhash.FAR):
-            want = brute_components(range(40), lambda a, b: distance[a, b] <= limit)
-            edges = {frozenset(e) for e in tree if distance[e] <= limit}
-            got = brute_components(range(40), lambda a, b: frozenset((a, b)) in edges)
-            groups = lambda of: {frozenset(k for k in range(40) if of[k] == t) for t in of}
-            assert groups(got) == groups(want)
-
-
-def test_pairs_of_blocks_propose_enough_to_connect(spark):
-    rng = np.random.default_rng(5)
-    base = int(rng.integers(0, 2**62))
-    rows = [(k, *[int(simhash.signed(base ^ (1 << int(rng.integers(0, 63))))) for _ in range(3)]) for k in range(120)]
-    nodes = spark.createDataFrame(rows, "fp long, v0 long, v1 long, v2 long")
-    for block in (16, 1024):
-        found = {r.node: r.component for r in components(simhash.proposed(nodes, block=block)).collect()}
-        assert set(found.values()) == {0} and len(found) == 120
-
-
-def test_links_that_a_tree_misses_are_found_in_the_bucket(spark):
-    # one bucket; by fingerprints the tree is 1-2-3, by sketches only 1 and 3 are alike
-    def sketch(seed):
-        return np.random.default_rng(seed).integers(1, 2**16, simhash.BINS).astype("<u2").tobytes()
-
-    rows = [(1, 0, 0, 0, sketch(1)), (2, 1, 1, 1, sketch(2)), (3, 3, 3, 3, sketch(1))]
-    nodes = spark.createDataFrame(rows, "fp long, v0 long, v1 long, v2 long, sketch binary")
-    assert sorted(tuple(r) for r in simhash.proposed(nodes.drop("sketch")).collect()) == [(1, 2), (2, 3)]
-    assert {r.node: r.component for r in components(simhash.alike_links(nodes, 0.8)).collect()} == {1: 1, 3: 1}
-
-
-def test_alike_links_equal_all_pairs_of_a_bucket_in_blocks(spark):
-    rng = np.random.default_rng(8)
-    base = [rng.integers(1, 2**16, simhash.BINS).astype("<u2") for _ in range(9)]
-    rows = []
-    for k in range(150):
-        own = base[rng.integers(9)].copy()
-        own[rng.choice(simhash.BINS, int(rng.integers(0, 50)), replace=False)] = rng.integers(1, 2**16)
-        rows.append((k, *[1 << int(rng.integers(0, 62)) for _ in range(3)], own.tobytes()))
-    sketches = [np.frombuffer(r[4], "<u2") for r in rows]
-    tops = brute_components(range(150), lambda a, b: (sketches[a] == sketches[b]).sum() >= 0.8 * simhash.BINS)
-    nodes = spark.createDataFrame(rows, "fp long, v0 long, v1 long, v2 long, sketch binary")
-    for block in (16, 1024):
-        found = {r.node: r.component for r in components(simhash.alike_links(nodes, 0.8, block=block)).collect()}
-        groups = lambda of: {frozenset(k for k in range(150) if of[k] == t) for t in set(of)}
-        assert groups([found.get(k, k) for k in range(150)]) == groups(tops)
-
-
-def test_short_texts_with_a_word_more_are_joined(spark):
-    rng = random.Random(11)
-    words = ["".join(rng.choices("abcdefghijklmnop", k=rng.randint(3, 8))) for _ in range(5000)]
-    texts = []
-    for n in (10, 12, 15, 20, 25, 30):
-        for _ in range(40):
-            own = rng.sample(words, n)
-            texts += [" ".join(own), " ".join([*own, "extra" + rng.choice(words)])]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: r.component_id for r in simhash.similar_documents(docs).collect()}
-    assert all(got[k] == got[k + 1] == k for k in range(0, len(texts), 2))
-
-
-def test_prefixes_of_similar_sets_share_a_hash():
-    rng = np.random.default_rng(12)
-    for n in (1, 2, 5, 6, 10, 11, 40, 333):
-        for _ in range(50):
-            a = np.unique(rng.integers(0, 2**64, n, dtype=np.uint64))
-            gone, more = int(rng.integers(0, n // 5 + 1)), int(rng.integers(0, n // 4 + 1))
-            b = np.unique(np.concatenate([a[rng.permutation(n)[gone:]], rng.integers(0, 2**64, more, dtype=np.uint64)]))
-            if n - gone >= 0.8 * (n + more):
-                assert set(simhash.prefix_of(a, 0.8).tolist()) & set(simhash.prefix_of(b, 0.8).tolist())
+def test_the_query_over_a_folder(spark, tmp_path):
+    texts = corpus()
+    rows = [(1000 - k, t, "x", "y") for k, t in enumerate(texts)] + [(None, texts[0], None, None), (5, "repeat me", "", ""), (5, "repeat me", "", ""), (6, "long words " * 50_000, "", "")]
+    spark.createDataFrame(rows, "doc_id long, text string, fingerprint string, component_id string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = simhash.op3_simhash(spark, str(tmp_path)).collect()
+    assert [f for f in got[0].asDict()][:3] == ["doc_id", "fingerprint", "component_id"]
+    prints = [brute_fingerprint(r[1]) for r in rows]
+    tops = brute_components(prints, lambda a, b: (a ^ b).bit_count() <= 4)
+    least = {}
+    for r, t in zip(rows, tops, strict=True):
+        if r[0] is not None:
+            least[t] = min(least.get(t, r[0]), r[0])
+    want = sorted((str(r[0]), f"{p:016x}", least.get(t)) for r, p, t in zip(rows, prints, tops, strict=True))
+    assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want

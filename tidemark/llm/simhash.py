@@ -8,33 +8,20 @@ each pair within the radius meets in a table, with certainty.
 Equal fingerprints are one node. A table's bucket of two nodes is compared in place; a larger one yields a spanning
 forest of its links and never its pairs. Buckets above ``BLOCK`` nodes are compared block against block, each pair of
 blocks a group of its own, so no group is larger than about two blocks and no pair is missed.
-
-``near_duplicates`` links fingerprints within a radius. ``similar_documents`` links texts by the similarity of their
-shingle sets: there fingerprints only propose pairs. Edits of a few words move many shingles but few words, so texts of
-a similarity of 0.8 are about five bits apart in a fingerprint of distinct words; three such fingerprints propose with a
-recall above 0.95, and a sketch of the shingle sets decides. Of a larger bucket the pairs of a minimum spanning tree by
-distance are tested first; they join most of what is alike. A bucket that they leave in more than one component is then
-tested pair by pair where components differ, and yields a spanning forest of what the sketches accept: no pair that
-meets in a bucket goes without a verdict or a path of accepted links.
-
-In texts of few words one word moves many bits of a fingerprint. Texts of at most ``SHORT`` distinct words therefore
-also meet by a prefix filter: of n shingles, two sets of similarity s or more share one of the least n - s n + 1 of each
-by any order (here of their hashes), so such pairs meet with certainty.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, map_in_arrow, table, written
+from tidemark.llm.common import cut, map_in_arrow, table
 from tidemark.llm.components import components
 
 BITS = 64
@@ -153,7 +140,8 @@ def links(nodes: DataFrame, radius: int, block: int = BLOCK) -> DataFrame:
 def classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
     """rows (doc_id, fp, …) with component_id, the smallest doc_id that edges (a, b) over fp reach.
 
-    A component without an id has a null one.
+    A component without an id has a null one. A fingerprint of many rows is a hot key of the last join, whose sides are
+    both shuffled, so that adaptive execution splits its rows.
     """
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = cut(nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp"))
@@ -174,211 +162,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return classes(rows, links(cut(rows.select("fp").distinct()), radius)).select("doc_id", "fp", "component_id")
 
 
-VIEWS = ("v0", "v1", "v2")
-BINS = 256
-#: Differing bits of all views beyond which a pair isn't worth a look at its sketches.
-FAR = 44
-#: Distinct words up to which a text also meets others by the least of its shingles; above, fingerprints propose alone.
-SHORT = 100
-
-
-def bits_of(hashes: np.ndarray) -> int:
-    """The signed fingerprint of distinct 64-bit features."""
-    if not len(hashes):
-        return 0
-    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
-
-
-def mixed(x: np.ndarray, salt: int) -> np.ndarray:
-    """Another 64-bit hash of each hash."""
-    x = (x + np.uint64(salt * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(32))
-
-
-def prefix_of(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """The least hashes of a set, as signed longs: sets of that similarity share one of them."""
-    own = np.unique(hashes)
-    return own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1].view(np.int64)
-
-
-def profile(text: str | None, width: int, similarity: float) -> tuple[int, list[int], bytes, np.ndarray]:
-    """(hash of the words, a fingerprint of the distinct words for each view, sketch of the shingles, prefix).
-
-    The prefix is empty in texts of more than SHORT distinct words. A sketch holds for each of BINS classes of shingle hashes 16 bits of the least hash, zero for an empty class. Fewer
-    words than a shingle has are one shingle; no words have an empty sketch.
-    """
-    words = (text or "").encode().lower().split()
-    digest = xxhash.xxh64_intdigest
-    sketch, prefix = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-    if words:
-        own = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
-        n = max(1, len(words) - width + 1)
-        h = np.zeros(n, dtype=np.uint64)
-        for k in range(min(width, len(words))):
-            h = mixed(h + own[k : k + n], k + 1)
-        np.minimum.at(sketch, (h & np.uint64(BINS - 1)).astype(np.int64), h >> np.uint64(8))
-        own = np.unique(own)
-        if len(own) <= SHORT:
-            prefix = prefix_of(h, similarity)
-    else:
-        own = np.zeros(0, dtype=np.uint64)
-    short = np.where(sketch == np.iinfo(np.uint64).max, 0, (sketch & np.uint64(0xFFFF)) | np.uint64(1)).astype("<u2")
-    return signed(digest(b" ".join(words), 7)), [bits_of(mixed(own, v + 50)) for v in range(len(VIEWS))], short.tobytes(), prefix
-
-
-def profiles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """(doc_id, fp, v0, v1, v2, sketch, prefix) of every row of docs (doc_id, text)."""
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("fp", T.LongType(), False), *(T.StructField(v, T.LongType(), False) for v in VIEWS), T.StructField("sketch", T.BinaryType(), False), T.StructField("prefix", T.ArrayType(T.LongType()), False)])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [profile(x.as_py(), width, similarity) for x in batch.column(1)]
-            views = [pa.array([x[1][v] for x in found], pa.int64()) for v in range(len(VIEWS))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in found], pa.int64()), *views, pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.list_(pa.int64()))], names=schema.names)
-
-    return docs.select("doc_id", "text").transform(map_in_arrow, run, schema)
-
-
-def spanning_tree(views: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of rows of a minimum spanning forest by differing bits, of those that differ in FAR bits at most."""
-    n = len(views)
-    best, nearest, free, found = np.full(n, FAR + 1), np.zeros(n, dtype=np.int64), np.ones(n, dtype=bool), []
-    at = 0
-    for _ in range(n - 1):
-        free[at] = False
-        distance = np.bitwise_count(views ^ views[at]).sum(axis=1)
-        closer = free & (distance < best)
-        best[closer], nearest[closer] = distance[closer], at
-        at = int(np.where(free, best, FAR + 2).argmin())
-        if best[at] <= FAR:
-            found.append((int(nearest[at]), at))
-    return found
-
-
-def _meetings(nodes: DataFrame, radius: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(a, b) of each bucket of two nodes; (gid, items) of each larger one, or pair of its blocks.
-
-    items are (fp, near), near the other end of an edge of the group's spanning tree or null; gid is a hash of the members.
-    """
-    dealt = _dealt(nodes, VIEWS, radius, VIEWS)
-    if "prefix" in nodes.columns:
-        dealt = dealt.union(nodes.select(F.lit(-1).cast("short").alias("t"), F.explode("prefix").alias("key"), "fp", *VIEWS))
-    counts = cut(dealt.groupBy("t", "key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            gids, ends, fps, near, bare = [], [0], [], [], []
-            for x in batch.column(0):
-                part = x.values
-                names = part.field(0).to_numpy()
-                other, alone = np.zeros(len(names), dtype=np.int64), np.ones(len(names), dtype=bool)
-                for k, m in spanning_tree(np.stack([part.field(v + 1).to_numpy() for v in range(len(VIEWS))], axis=1).view(np.uint64)):
-                    other[m], alone[m] = names[k], False
-                gids.append(signed(xxhash.xxh64_intdigest(np.sort(names).tobytes())))
-                ends.append(ends[-1] + len(names))
-                fps, near, bare = [*fps, names], [*near, other], [*bare, alone]
-            if gids:
-                both = [pa.array(np.concatenate(fps)), pa.array(np.concatenate(near), mask=np.concatenate(bare))]
-                items = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(both, names=["fp", "near"]))
-                yield pa.RecordBatch.from_arrays([pa.array(gids, pa.int64()), items], names=["gid", "items"])
-
-    groups = _groups(dealt, counts, block, F.struct("fp", *VIEWS)).transform(map_in_arrow, run, "gid long, items array<struct<fp: long, near: long>>")
-    return counts.where("n = 2").select("a", "b"), written(groups, "groups")
-
-
-def _first_pairs(twos: DataFrame, groups: DataFrame) -> DataFrame:
-    trees = groups.select(F.inline("items")).where("near is not null")
-    return twos.union(trees.select(F.least("fp", "near"), F.greatest("fp", "near"))).distinct()
-
-
-def proposed(nodes: DataFrame, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """Distinct pairs (a, b) of nodes (fp, v0, v1, v2) that meet in a table of a view, or of larger buckets a tree."""
-    return _first_pairs(*_meetings(nodes, radius, block))
-
-
-def alike(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sketches agree in at least that share of the classes that either fills."""
-    known = nodes.select("fp", "sketch")
-    both = pairs.join(known.select(F.col("fp").alias("a"), F.col("sketch").alias("x")), "a").join(known.select(F.col("fp").alias("b"), F.col("sketch").alias("y")), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = [np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype="<u2").reshape(-1, BINS) for k in (2, 3)]
-            held = ((x == y) & (x > 0)).sum(axis=1) >= similarity * np.maximum(1, ((x > 0) | (y > 0)).sum(axis=1))
-            yield batch.select(["a", "b"]).filter(pa.array(held))
-
-    return both.select("a", "b", "x", "y").transform(map_in_arrow, run, "a long, b long")
-
-
-def accepted_forest(names: np.ndarray, tops: np.ndarray, sketches: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Edges of alike sketches that connect, with the components in tops, what all alike pairs of names would connect."""
-    tops, filled, found = tops.copy(), sketches > 0, []
-    for k in range(len(names)):
-        rest = k + 1 + np.flatnonzero(tops[k + 1 :] != tops[k])
-        if len(rest):
-            agree = ((sketches[rest] == sketches[k]) & filled[k]).sum(axis=1)
-            held = agree >= similarity * np.maximum(1, (filled[rest] | filled[k]).sum(axis=1))
-            for m in rest[held].tolist():
-                if tops[m] != tops[k]:
-                    found.append((int(names[k]), int(names[m])))
-                    tops[tops == tops[m]] = tops[k]
-    return found
-
-
-def _rest_of_groups(groups: DataFrame, tops: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Edges (a, b) that groups of more than one component (fp, top) still hold."""
-    members = groups.select("gid", F.inline("items")).select("gid", "fp").distinct()
-    members = members.join(tops, "fp", "left").select("gid", "fp", F.coalesce("top", "fp").alias("top"))
-    own = Window.partitionBy("gid")
-    mixed = cut(members.withColumn("least", F.min("top").over(own)).withColumn("most", F.max("top").over(own)).where("least <> most").select("gid", "fp", "top"))
-    # streamed in order of groups, so that a task holds the sketches of one
-    rows = mixed.join(nodes.select("fp", "sketch"), "fp").select("gid", "fp", "top", "sketch").repartition("gid").sortWithinPartitions("gid")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members_of() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-
-        for _, group in groupby(members_of(), key=lambda r: r[0]):
-            _, names, tops, sketches = zip(*group, strict=True)
-            known = np.frombuffer(b"".join(sketches), dtype="<u2").reshape(-1, BINS)
-            if found := accepted_forest(np.array(names), np.array(tops), known, similarity):
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["a", "b"])
-
-    return rows.transform(map_in_arrow, run, "a long, b long")
-
-
-def alike_links(nodes: DataFrame, similarity: float, radius: int = 4, block: int = BLOCK) -> DataFrame:
-    """Edges (a, b) that connect all pairs of nodes (fp, v0, v1, v2, sketch and perhaps prefix) that meet in a bucket and are alike."""
-    twos, groups = _meetings(nodes.drop("sketch"), radius, block)
-    tops = cut(components(alike(_first_pairs(twos, groups), nodes, similarity)).select(F.col("node").alias("fp"), F.col("component").alias("top")))
-    return tops.select(F.col("fp").alias("a"), F.col("top").alias("b")).union(_rest_of_groups(groups, tops, nodes, similarity))
-
-
-def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, fp, component_id) for every row; links join texts whose sets of shingles are that similar.
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, fingerprint (16 lower-case hex digits) and component_id of every row of documents.
 
-    The similarity of two sets is their common part over their union, as sketches of ``BINS`` classes give it. Equal
-    word sequences (texts without a word among them) are linked. fp is the hash of the word sequence.
+    Fingerprints of 4-word shingles, repeats included, link at 4 or fewer differing bits. Null and empty texts have a
+    fingerprint of zero, texts of fewer words one shingle. Repeated rows stay repeated; a row without an id links others
+    and takes the smallest id of its component; an empty table gives an empty result; other columns are not read.
     """
-    rows = cut(profiles(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), width, similarity))
-    nodes = cut(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in (*VIEWS, "sketch", "prefix")]))
-    return classes(rows.select("doc_id", "fp"), alike_links(nodes, similarity))
-
-
-def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def first_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each component of similar documents: the smallest id; of rows that share an id, one.
-
-    Rows without an id can't be named by their component and stay.
-    """
-    found = similar_documents(docs.where(F.col(doc_id).isNotNull()), doc_id, text, width, similarity)
-    kept = cut(found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias(doc_id)).distinct())
-    once = docs.join(kept, doc_id, "left_semi").dropDuplicates([doc_id])
-    return once.select(*docs.columns).union(docs.where(F.col(doc_id).isNull()))
