@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, decontaminate, quality_rules, simhash, toxicity
+from tidemark.llm import bpe, decontaminate, quality_rules, similar, toxicity
 from tidemark.llm.common import scratch, table
 
 
@@ -26,7 +26,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of those whose sets of five-word shingles have a similarity of 0.8 or more."""
-    return simhash.first_of_each(docs, width=5, similarity=0.8)
+    return similar.first_of_each(docs, width=5, similarity=0.8)
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
