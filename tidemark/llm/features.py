@@ -51,6 +51,26 @@ def share_of(key: Column, most: int, there: int) -> Column:
     return F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1_000_000)) < int(min(1.0, most / max(1, there)) * 1_000_000)
 
 
+def sampled_rows(docs: DataFrame, most: int, there: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """About ``most`` of ``there`` rows of docs at most, chosen by a hash of id and text; rows of one hash count once.
+
+    So neither rows without an id nor those of one hot id or text come in or stay out together, and the sample is
+    bounded however often a row is repeated.
+    """
+    keyed = docs.withColumn("_sampled", F.xxhash64(F.col(doc_id), F.col(text)))
+    return keyed.where(share_of(F.col("_sampled"), most, there)).dropDuplicates(["_sampled"]).drop("_sampled")
+
+
+def labelled_rows(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the documents of a bounded sample of labels (doc_id, label), one row each.
+
+    Of several texts of an id the one of the smallest hash is taken, by a combined aggregation, so the rows are as
+    bounded as the labels are.
+    """
+    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    return chosen.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label"))
+
+
 def document_frequencies(docs: DataFrame, ids: Ids, size: int, text: str = "text") -> tuple[np.ndarray, int]:
     """In how many texts each bucket occurs, and how many texts there are. Each partition sends one row a bucket at most."""
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import map_in_arrow, table
-from tidemark.llm.features import codes, collected, document_frequencies, grams, inverse_frequencies, mod_of_crc32, share_of, sparse
+from tidemark.llm.features import codes, collected, document_frequencies, grams, inverse_frequencies, mod_of_crc32, sampled_rows, sparse
 
 BITS = 15
 SIZE = 1 << BITS
@@ -96,7 +96,7 @@ def fit(docs: DataFrame, most: int = MAX_TRAIN) -> Model:
     learn = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", F.col("lang").alias("label"))
     seen, there = document_frequencies(learn, ids, SIZE)
     idf = inverse_frequencies(seen, there)
-    ats, counts, labels = collected(learn.where(share_of(F.col("doc_id"), most, there)), ids, SIZE)
+    ats, counts, labels = collected(sampled_rows(learn, most, there), ids, SIZE)
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((0, SIZE + 1), np.float32), idf, 1.0)
@@ -125,7 +125,12 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row of documents without an id is predicted, but isn't learned from and isn't held out."""
+    """doc_id, held_out, lang_pred and score for every row of documents.
+
+    A row without an id is predicted, but isn't learned from and isn't held out. Null and empty texts and those without
+    a letter are und with a score of 0, as all are without a language to learn. Of equally likely languages the first
+    in order holds. Repeated rows stay repeated; an empty table gives an empty result; other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     held = mod_of_crc32(F.col("doc_id"), 4) == 2
     model = fit(docs.where(~held))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import map_in_arrow, table
-from tidemark.llm.features import codes, collected, document_frequencies, grams, inverse_frequencies, mod_of_crc32, share_of, sparse
+from tidemark.llm.features import codes, collected, document_frequencies, grams, inverse_frequencies, labelled_rows, mod_of_crc32, share_of, sparse
 
 BITS = 12
 #: Three families of terms: characters, classes of characters, words.
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, rank: int
     idf = inverse_frequencies(seen, there)
     once = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
     sample = once.where(share_of(F.col("doc_id"), most, once.count()))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = labelled_rows(docs, sample)
     ats, counts, found = collected(chosen, ids, SIZE)
     values = [weigh(at, c, idf) for at, c in zip(ats, counts, strict=True)]
     basis = singular_vectors(ats, values, SIZE, rank) if ats else np.zeros((SIZE, rank), np.float32)
@@ -174,7 +174,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row of documents without an id is scored, but isn't held out."""
+    """doc_id, held_out, score and predicted for every row of documents.
+
+    Labels of held-out ids are not learned from. A row without an id is scored, but isn't held out. Null and empty texts
+    are scored by the terms of an empty text; repeated rows stay repeated; without labels every score is 0.5; of equally
+    near neighbours any is taken. An empty table gives an empty result; other columns are not read.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = mod_of_crc32(F.col("doc_id"), 5) == 0
     model = fit(docs, labels.where(~held))

@@ -197,6 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> list[Ru
     """The list that finds documents of quality 0, from a bounded sample of labelled ones."""
     sample = labelled_sample(labels, "quality", most)
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = chosen.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("quality").alias("quality"))
     stats = with_stats(chosen).where("n_words >= 10 and 100 * n_repeat_words <= 20 * n_words")
     rows = stats.select("doc_id", *FEATURES, (F.col("quality") == 0).alias("bad")).collect()
     return learn([tuple(r)[1:] for r in sorted(rows)])
@@ -210,6 +211,12 @@ def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the base counts, base_failed and kept for every row of documents.
+
+    Null and empty texts have no words and fail the base rules. Rows without an id are judged but not learned from; of
+    several texts of a labelled id the one of the smallest hash is learned from. Repeated rows stay repeated; without
+    labels the base rules decide alone; an empty table gives an empty result; other columns are not read.
+    """
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     found = judge(docs.select("doc_id", "text"), fit(docs, labels))
     return found.select("doc_id", *BASE, "base_failed", "kept")

@@ -88,7 +88,7 @@ class ShardStore:
     def append(self, rows: DataFrame, arrival: str) -> int:
         """Writes rows as shards, one a partition that has any, and commits them. Returns the version.
 
-        Without a row nothing is committed. Repeated rows stay repeated.
+        Without a row a version is committed that lists no shard more. Repeated rows stay repeated.
         """
         run = f"{self.root}/data/{uuid.uuid4().hex}"
         rows.write.option("compression", "zstd").parquet(run)

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import keep_rows, map_in_arrow, table
-from tidemark.llm.features import share_of
+from tidemark.llm.features import labelled_rows, share_of
 
 WORD = re.compile(r"[^\W\d_]+")
 STARTS = (4, 5, 6)
@@ -164,7 +164,7 @@ def sampled(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[
     """Sparse rows and labels of a bounded sample, in an order that doesn't depend on the partitions."""
     once = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
     sample = once.where(share_of(F.col("doc_id"), most, once.count()))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    chosen = labelled_rows(docs, sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,7 +212,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, severity (0 to 2), p_toxic and toxic for every row of documents."""
+    """doc_id, severity (0 to 2), p_toxic and toxic for every row of documents.
+
+    Null and empty texts and those without a letter have the severity of no evidence. Rows without an id are scored but
+    not learned from; repeated rows stay repeated. Without labels no row is toxic; an empty table gives an empty result;
+    other columns are not read.
+    """
     docs = table(spark, sf_dir, "documents")
     return score(docs.select("doc_id", "text"), fit(docs, table(spark, sf_dir, "labels")))
 

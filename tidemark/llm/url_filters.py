@@ -103,6 +103,12 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, edges: D
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, host, path, rule and verdict of every row of pages.
+
+    A null URL or one without :// has an empty host and path, no rule, and is allowed. Null html names no alias. Of
+    rules of one length the first listed wins. Repeated rows stay repeated; rows with a null id are judged like any
+    other; an empty table gives an empty result; other columns are not read.
+    """
     return judge(table(spark, sf_dir, "pages"))
 
 
