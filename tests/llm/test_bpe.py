@@ -49,3 +49,21 @@ def test_encode_then_decode(spark):
 
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def test_pieces_of_the_model_invert_to_the_vocabulary():
+    enc = bpe.Encoder(PATH)
+    assert [x or b"" for x in enc.decoded] == bpe.vocabulary(PATH)
+    assert bpe.unmapped(bpe.mapped(bytes(range(256)))) == bytes(range(256))
+
+
+def test_the_query_over_a_folder(spark, tmp_path, model):
+    rows = [(k, t, "x") for k, t in enumerate(texts()[:60])] + [(None, None, None), (7, "again", None), (7, "again", None), (8, "long é text\n" * 60_000, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, n_tokens string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = bpe.op10_byte_bpe(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and dict(found.dtypes)["n_tokens"] == "bigint"
+    want = []
+    for doc_id, text, _ in rows:
+        ids = model.encode_ordinary(text or "")
+        want.append((str(doc_id), len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in found.collect()) == sorted(want)

@@ -1,0 +1,60 @@
+import math
+import random
+from collections import Counter
+
+import numpy as np
+
+from tidemark.llm import features as f
+
+MASK = (1 << 32) - 1
+
+
+def brute_grams(points, sizes, bits, salt=0):
+    """Buckets of all runs, by loops over whole numbers."""
+    found = []
+    for n in sizes:
+        for k in range(len(points) - n + 1):
+            h = salt
+            for m in range(n):
+                h = (h * 16777619 + points[k + m] + m + 1) & MASK
+            found.append((((h * 2654435761 & MASK) ^ (h >> 15)) * 2654435761 & MASK) >> (32 - bits))
+    return found
+
+
+def brute_points(text):
+    return [32 if ord(c) <= 32 else ord(c) for c in text]
+
+
+def brute_tf_idf(buckets, idf):
+    counts = Counter(buckets)
+    v = {b: (1 + math.log(n)) * float(idf[b]) for b, n in counts.items()}
+    norm = math.sqrt(sum(x * x for x in v.values())) or 1.0
+    return {b: x / norm for b, x in v.items()}
+
+
+def test_grams_equal_loops():
+    rng = random.Random(1)
+    for _ in range(40):
+        text = "".join(rng.choices("ab é\n🙂漢\x00", k=rng.randint(0, 40)))
+        got = f.grams(f.codes(text), range(1, 4), 15)
+        assert [int(x) for part in got for x in part] == brute_grams(brute_points(text), range(1, 4), 15)
+        assert sorted(int(x) for part in f.grams(f.codes(text), range(2, 3), 12, 99) for x in part) == sorted(brute_grams(brute_points(text), range(2, 3), 12, 99))
+
+
+def test_frequencies_equal_a_count(spark):
+    texts = ["ab", "abab", None, "", "zzz", "ab"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    ids = lambda t: np.concatenate(f.grams(f.codes(t), range(1, 3), 10)) if t else np.zeros(0, np.uint32)
+    seen, n = f.document_frequencies(docs, ids, 1 << 10)
+    want = Counter(b for t in texts if t for b in set(brute_grams(brute_points(t), range(1, 3), 10)))
+    assert n == len(texts) and {k: int(v) for k, v in enumerate(seen) if v} == dict(want)
+
+
+def test_samples_are_bounded_however_rows_repeat(spark):
+    rows = [(None, "x")] * 300 + [(1, "y")] * 300 + [(2, f"t{k}") for k in range(300)] + [(k, "z") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    every = f.sampled_rows(docs, 10_000, 1200)
+    assert sorted(map(str, every.collect())) == sorted(map(str, docs.distinct().collect()))
+    assert f.sampled_rows(docs, 120, 1200).count() < 150
+    labelled = f.labelled_rows(docs, spark.createDataFrame([(1, 1), (2, 0), (77, 1)], "doc_id long, label int")).collect()
+    assert sorted((r.doc_id, r.label) for r in labelled) == [(1, 1), (2, 0), (77, 1)]

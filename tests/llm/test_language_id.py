@@ -1,8 +1,11 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 
+from tests.llm.test_features import brute_grams, brute_points, brute_tf_idf
 from tidemark.llm import language_id as li
 from tidemark.llm.features import mod_of_crc32
 from pyspark.sql import functions as F
@@ -54,3 +57,68 @@ def test_temperature_softens_overconfident_logits():
     logits = np.where(np.arange(2) == y[:, None], 20.0, 0.0)
     logits[::5] = logits[::5, ::-1]
     assert li.temperature(logits, y) > 5 and li.temperature(logits[:0], y[:0]) == 1.0
+
+
+def plain_follow_the_leader(rows, y, classes, size, alpha, beta, l1, l2, passes):
+    """The same steps, coordinate by coordinate."""
+    z, n = [[0.0] * (size + 1) for _ in range(classes)], [[0.0] * (size + 1) for _ in range(classes)]
+
+    def weight(c, k):
+        x = z[c][k]
+        return 0.0 if abs(x) <= l1 else -(x - math.copysign(l1, x)) / ((beta + math.sqrt(n[c][k])) / alpha + l2)
+
+    for _ in range(passes):
+        for row, own in zip(rows, y):
+            row = {**row, size: 1.0}
+            w = [{k: weight(c, k) for k in row} for c in range(classes)]
+            scores = [sum(w[c][k] * v for k, v in row.items()) for c in range(classes)]
+            e = [math.exp(s - max(scores)) for s in scores]
+            for c in range(classes):
+                g = e[c] / sum(e) - (c == own)
+                for k, v in row.items():
+                    step = g * v
+                    z[c][k] += step - (math.sqrt(n[c][k] + step * step) - math.sqrt(n[c][k])) / alpha * w[c][k]
+                    n[c][k] += step * step
+    return [[weight(c, k) for k in range(size + 1)] for c in range(classes)]
+
+
+def test_follow_the_leader_equals_loops():
+    rng = random.Random(3)
+    rows = [{k: rng.random() for k in sorted(rng.sample(range(20), 5))} for _ in range(60)]
+    y = [sum(r) % 3 for r in rows]
+    sparse = [(np.array(list(r), np.int32), np.array(list(r.values()))) for r in rows]
+    got = li.follow_the_leader(sparse, np.array(y), 3, 20, alpha=2.0, beta=1.0, l1=0.05, l2=0.02, passes=2)
+    want = np.array(plain_follow_the_leader(rows, y, 3, 20, 2.0, 1.0, 0.05, 0.02, 2))
+    assert np.abs(got - want).max() < 1e-5 and (want == 0).any() and (want != 0).any()
+
+
+def test_the_query_equals_brute_force_over_a_folder(spark, tmp_path):
+    rng = random.Random(7)
+    rows = [(k, text(rng, lang), lang if rng.random() < 0.9 else None, "s") for k in range(400) for lang in [rng.choice(sorted(PARTS))]]
+    rows += [(500, None, "aa", "s"), (501, "", "aa", "s"), (502, "12 !?", "bb", "s"), (None, "la na", "aa", "s"), (3, rows[3][1], rows[3][2], "s"), (503, "LA na \n" * 40_000, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    found = li.op8_language_id(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "held_out", "lang_pred", "score"]
+    got = sorted(map(tuple, found.collect()), key=str)
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 4 == 2
+    learn = [r for r in rows if r[0] is not None and not held(r[0]) and r[1] is not None and r[2] is not None]
+    buckets = {t: brute_grams(brute_points(t.lower()), range(1, 4), li.BITS) for t in {r[1] for r in rows if r[1]}}
+    seen = Counter(b for r in learn for b in set(buckets.get(r[1], ())))
+    idf = {b: math.log((1 + len(learn)) / (1 + n)) + 1 for b, n in seen.items()}
+    rest = math.log(1 + len(learn)) + 1
+    model = li.fit(docs.where(~(mod_of_crc32(F.col("doc_id"), 4) == 2)))
+    want = []
+    for d, t, _, _ in rows:
+        if not t or not any(c.isalpha() for c in t):
+            want.append((d, held(d), "und", 0.0))
+            continue
+        v = brute_tf_idf(buckets[t], {b: idf.get(b, rest) for b in set(buckets[t])})
+        logits = [(sum(float(w[b]) * x for b, x in v.items()) + float(w[-1])) / model.temperature for w in model.weights]
+        e = [math.exp(x - max(logits)) for x in logits]
+        k = max(range(len(e)), key=e.__getitem__)
+        want.append((d, held(d), model.languages[k], e[k] / sum(e)))
+    want.sort(key=str)
+    order = lambda r: (str(r[0]), r[2])
+    for g, w in zip(sorted(got, key=order), sorted(want, key=order), strict=True):
+        assert g[:3] == w[:3] and abs(g[3] - w[3]) < 1e-4, (g, w)

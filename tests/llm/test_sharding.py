@@ -33,7 +33,8 @@ def test_appends_and_compaction_keep_every_row(spark, tmp_path):
     tiers = [r.tier for r in s.manifest().withColumn("tier", s.tier()).where("tier is not null").groupBy("tier").count().collect() if r["count"] >= s.fanout]
     assert tiers == []
     assert everything(s) == sorted(r.id for r in s.read(6).collect())  # an old version is still whole
-    assert s.vacuum() > 0 and s.versions() == [last] and everything(s) == want
+    assert s.vacuum() == 0 and len(s.versions()) == last  # all is younger than an hour
+    assert s.vacuum(older_than=0, now=2e9) > 0 and s.versions() == [last] and everything(s) == want
 
 
 def test_a_version_is_committed_once(spark, tmp_path):
@@ -48,6 +49,33 @@ def test_a_version_is_committed_once(spark, tmp_path):
     assert s.versions() == [1, 2, 3, 4] and len(everything(s)) == 40
 
 
+def test_a_merge_that_loses_the_race_leaves_no_files(spark, tmp_path):
+    s, other = store(spark, tmp_path), store(spark, tmp_path)
+    for k in range(4):
+        s.append(rows(spark, 10 * k, 10, 1), str(k))
+    commit, raced = s.commit, []
+
+    def late(entries, version):
+        if not raced:
+            raced.append(other.append(rows(spark, 1000, 10, 1), "late"))
+        return commit(entries, version)
+
+    s.commit = late
+    with pytest.raises(sh.VersionTaken):
+        s.compact_once()
+    runs = {x.name for x in (tmp_path / "store/data").iterdir()}
+    assert len(runs) == 5 and not list((tmp_path / "store/staged").glob("[!._]*"))
+    assert s.compact() == 6 and len(everything(s)) == 50
+    assert s.vacuum(older_than=0, now=2e9) == 5 and len(everything(s)) == 50
+
+
+def test_extra_columns_with_clashing_names_and_long_texts(spark, tmp_path):
+    data = [(1, "x" * 3_000_000, 5, "f", 7), (2, None, None, None, None)]
+    spark.createDataFrame(data, "doc_id long, text string, arrival int, file string, bytes long").write.parquet(f"{tmp_path}/in/documents.parquet")
+    got = {r.doc_id: (r.arrival, r.n_bytes) for r in sh.op1_sharding(spark, f"{tmp_path}/in").collect()}
+    assert got == {1: (0, 3_000_000), 2: (0, None)}
+
+
 def test_empty_arrivals_and_an_empty_store(spark, tmp_path):
     s = store(spark, tmp_path)
     assert s.manifest() is None and s.compact() == 0 and s.vacuum() == 0

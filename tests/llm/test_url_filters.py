@@ -31,8 +31,18 @@ ROWS = [
     (18, "http://chain.org/0", page("http://chain.org/1")),
     *[(20 + k, f"http://chain.org/{k}", page(f"http://chain.org/{k + 1}")) for k in range(1, 12)],
     (50, "http://end.net/es/", page("http://chain.org/12")),
+    # every tag counts, and links from a page's folder or path
+    (60, "http://two.org/", page("http://first.org/") + page("http://q.net/fr/")),
+    (61, "http://rel.org/a/b/c.html?x=1", page("../d/./e.html?y#z")),
+    (62, "http://rel.org/a/d/e.html?y", page(refresh="?z=2")),
+    (63, "http://rel.org/a/d/e.html?z=2", page("http://q.net/fr/")),
+    (64, "http://rel.org", page("f.html")),
+    (65, "http://rel.org/f.html", page("http://q.net/fr/")),
+    (66, "http://rel.org/up/", page("..")),
+    (67, "http://rel.org/", page("http://q.net/fr/")),
+    (68, "http://mail.org/", page("mailto:x@q.net") + page("javascript:void(0)") + page("#top")),
 ]
-WANT = {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "block", 11: "block", 12: "block", 13: "allow", 14: "allow", 15: "allow", 16: "allow", 18: "block", 50: "block", None: "block"}
+WANT = {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block", 6: "allow", 7: "allow", 8: "allow", 9: "allow", 10: "block", 11: "block", 12: "block", 13: "allow", 14: "allow", 15: "allow", 16: "allow", 18: "block", 50: "block", None: "block", 60: "block", 61: "block", 62: "block", 63: "block", 64: "block", 65: "block", 66: "block", 67: "block", 68: "allow"}
 
 
 def test_verdicts_and_sql(spark):
@@ -54,3 +64,10 @@ def test_given_edges_and_an_empty_table(spark):
     edges = spark.createDataFrame([("http://a.org/", "http://b.net/es/"), (None, "x")], "a string, b string")
     assert {r.page_id: r.verdict for r in u.judge(pages, edges=edges).collect()} == {1: "block", 2: "block"}
     assert u.judge(pages.limit(0)).count() == 0
+
+
+def test_the_query_over_a_folder(spark, tmp_path):
+    spark.createDataFrame([(*r, "h", "x") for r in ROWS], "page_id long, url string, html string, host string, verdict string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = u.op7_url_filters(spark, str(tmp_path))
+    assert found.columns == ["page_id", "host", "path", "rule", "verdict"]
+    assert {r.page_id: r.verdict for r in found.collect() if r.page_id in WANT} == WANT

@@ -36,6 +36,11 @@ def mapped(data: bytes) -> str:
     return codecs.charmap_decode(data, "strict", BYTE_CHARS)[0]
 
 
+def unmapped(piece: str) -> bytes:
+    """The bytes that a piece's characters stand for."""
+    return bytes(ord(c) - 0x100 for c in piece)
+
+
 @lru_cache(maxsize=4)
 def vocabulary(path: str) -> list[bytes]:
     """Entries by rank; ranks without an entry are empty."""
@@ -71,6 +76,8 @@ class Encoder(dict):
         entries = vocabulary(path)
         self.whole = {token: rank for rank, token in enumerate(entries) if token}
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_bytes(entries))
+        #: The bytes of each id, by the inverse mapping of the model's own pieces.
+        self.decoded = [unmapped(self.model.id_to_piece(k + 1)) if token else None for k, token in enumerate(entries)]
         self.split = regex.compile(public_tokenizers.PATTERN).findall
 
     def __missing__(self, token: str) -> bytes:
@@ -85,6 +92,10 @@ class Encoder(dict):
         self[token] = found = ids.tobytes()
         return found
 
+    def decode(self, ids: list[int]) -> bytes:
+        """The bytes that ids stand for; an id without a piece is an error."""
+        return b"".join(map(self.decoded.__getitem__, ids))
+
     def encode(self, text: str) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, self.split(text))), dtype="<i4")
 
@@ -137,10 +148,10 @@ def decode(df: DataFrame, path: str, ids: str = "token_ids", out: str = "decoded
     schema = T.StructType([*base.schema.fields, T.StructField(out, T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entry = vocabulary(path).__getitem__
+        enc = encoder(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(ids))
-            texts = [b"".join(map(entry, x.values.tolist() if x.is_valid else ())) for x in column]
+            texts = [enc.decode(x.as_py() or []) for x in column]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*batch.schema.names, out])
 
     return base.transform(map_in_arrow, run, schema)
@@ -154,7 +165,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     schema = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("decoded", T.BinaryType(), False)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, entry = encoder(path), vocabulary(path).__getitem__
+        enc = encoder(path)
         for batch in batches:
             column = batch.column(batch.schema.get_field_index(text))
             rest = batch.select(kept)
@@ -162,7 +173,7 @@ def round_trip(df: DataFrame, path: str, text: str = "text") -> DataFrame:
                 ids = [enc.encode(x or "") for x in column.slice(a, b - a).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                texts = pa.array([b"".join(map(entry, x.tolist())) for x in ids], pa.binary())
+                texts = pa.array([enc.decode(x.tolist()) for x in ids], pa.binary())
                 yield pa.RecordBatch.from_arrays([*rest.slice(a, b - a).columns, lists, texts], names=[*kept, "token_ids", "decoded"])
 
     return base.transform(map_in_arrow, run, schema)
@@ -180,5 +191,9 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per row of documents. Null and empty texts have no tokens; repeated rows are encoded alike."""
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of every row of documents.
+
+    Null and empty texts have no tokens, and the digests of nothing. Rows without an id are encoded like any other,
+    repeated rows stay repeated and are encoded alike; an empty table gives an empty result; other columns are not read.
+    """
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))

@@ -9,6 +9,7 @@ shuffle, so a tier of any size is one job whose tasks each write one file. The d
 
 from __future__ import annotations
 
+import time
 import uuid
 from functools import reduce
 
@@ -113,17 +114,23 @@ class ShardStore:
             return False
         live = live.withColumn("tier", self.tier())
         tiers = live.where("tier is not null").groupBy("tier").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).where(F.col("n") >= self.fanout)
-        made, merged = [], []
+        made, merged, runs = [], [], []
         for t in sorted(tiers.collect()):  # a row a tier: about log(target / smallest)
             files = [r.file for r in live.where(F.col("tier") == t.tier).select("file").toLocalIterator()]
             run = f"{self.root}/data/{uuid.uuid4().hex}"
             self.spark.read.parquet(*files).coalesce(max(1, round(t.bytes / self.target))).write.option("compression", "zstd").parquet(run)
             made.append(self._entries(run, F.lit("merged")))
             merged.append(t.tier)
+            runs.append(run)
         if not made:
             return False
         kept = live.where(F.col("tier").isNull() | ~F.col("tier").isin(merged)).drop("tier")
-        self.commit(reduce(DataFrame.unionByName, made, kept), there[-1] + 1)
+        try:
+            self.commit(reduce(DataFrame.unionByName, made, kept), there[-1] + 1)
+        except VersionTaken:
+            for run in runs:  # no manifest names them
+                self._files().delete(self._path(run), True)
+            raise
         return True
 
     def compact(self) -> int:
@@ -135,19 +142,34 @@ class ShardStore:
             except VersionTaken:
                 continue  # the shards of the other writer join the next round
 
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes versions but the latest ``keep``, then the shards that only they list. Returns the shards' number."""
-        there = self.versions()
-        old, new = there[:-keep], there[-keep:]
-        if not old:
-            return 0
-        listed = lambda versions: reduce(DataFrame.union, [self.manifest(v).select("file") for v in versions]).distinct()
-        gone = [r.file for r in listed(old).join(listed(new), "file", "left_anti").collect()]
-        for v in old:
+    def vacuum(self, keep: int = 1, older_than: float = 3600.0, now: float | None = None) -> int:
+        """Deletes versions but the latest ``keep``, then the shards that no version left lists. Returns their number.
+
+        Only what was last changed ``older_than`` seconds ago goes, so readers of an old version and writers of a new
+        one that are younger are safe; runs that a writer left behind without a commit go too.
+        """
+        now = time.time() if now is None else now
+        there, cut = self.versions(), (now - older_than) * 1000
+        files = lambda name: list(self._files().listStatus(self._path(name))) if self._files().exists(self._path(name)) else []
+        old = {int(x.getPath().getName()) for x in files(f"{self.root}/versions") if x.getModificationTime() <= cut} & set(there[:-keep])
+        for v in sorted(old):
             self._files().delete(self._path(f"{self.root}/versions/{v:012d}"), True)
-        for name in gone:
-            self._files().delete(self._path(name), False)
-        return len(gone)
+        listed: set[str] = set()
+        for v in set(there) - old:  # manifest rows, as everywhere on the driver
+            listed |= {r.name for r in self.manifest(v).select(F.regexp_extract("file", r"/data/(.*)$", 1).alias("name")).toLocalIterator()}
+        gone = 0
+        for run in (x.getPath().getName() for x in files(f"{self.root}/data")):
+            shards = [x for x in files(f"{self.root}/data/{run}") if x.getPath().getName().startswith("part-")]
+            dead = [x for x in shards if f"{run}/{x.getPath().getName()}" not in listed and x.getModificationTime() <= cut]
+            for x in dead:
+                self._files().delete(x.getPath(), False)
+            gone += len(dead)
+            if dead and len(dead) == len(shards):
+                self._files().delete(self._path(f"{self.root}/data/{run}"), True)
+        for x in files(f"{self.root}/staged"):
+            if x.getModificationTime() <= cut:
+                self._files().delete(x.getPath(), True)
+        return gone
 
 
 def arrival_of(doc_id: Column) -> Column:
@@ -167,7 +189,7 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in range(5):
         store.append(docs.withColumn("arrival", arrival).where(F.col("arrival") == k), str(k))
     store.compact()
-    store.vacuum()
+    store.vacuum(older_than=0)  # no one else reads this store
     rows = store.read() if store.manifest().limit(1).count() else docs.withColumn("arrival", arrival)
     return rows.select("doc_id", "arrival", F.octet_length("text").cast("long").alias("n_bytes"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
 

@@ -58,21 +58,39 @@ def _node(url: Column) -> Column:
     return F.regexp_replace(url, r"#[\s\S]*$", "")
 
 
+#: Links that name nothing on the web: another scheme, as of mail or scripts.
+OTHER_SCHEME = r"^[a-zA-Z][-+.a-zA-Z0-9]*:"
+
+
+def _relative(base: Column, link: Column) -> Column:
+    """A link that goes from the base's folder, without its . and .. segments."""
+    site, folder = F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0), F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*((?:/[^/?#]*)*)/", 1)
+    to, query = F.regexp_extract(link, r"^[^?#]*", 0), F.regexp_extract(link, r"\?[\s\S]*$", 0)
+    parts = F.split(F.concat(F.substring(folder, 2, 1 << 30), F.when(folder != "", "/").otherwise(""), to), "/")
+    up = lambda at, x: F.when(x == "..", F.regexp_replace(at, r"/[^/]*$", "")).when(x == ".", at).otherwise(F.concat(at, F.lit("/"), x))
+    path_ = F.aggregate(parts, F.lit(""), up)
+    return F.concat(site, path_, F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise(""), query)
+
+
 def _resolved(base: Column, link: Column) -> Column:
-    """An absolute link as it is; one that starts with // or / under the page's scheme or host; others are ignored."""
+    """The URL that a link of a page names: absolute, or relative to the page's scheme, host, folder or path."""
     scheme, site = F.regexp_extract(base, r"^([^:/?#]+:)//", 1), F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
     return (
-        F.when(link.contains("://"), link)
-        .when((scheme != "") & link.startswith("//"), F.concat(scheme, link))
-        .when((site != "") & link.startswith("/"), F.concat(site, link))
+        F.when(link.rlike(r"^[^/?#]*://"), link)
+        .when((scheme == "") | link.rlike(OTHER_SCHEME), F.lit(None))
+        .when(link.startswith("//"), F.concat(scheme, link))
+        .when(link.startswith("/"), F.concat(site, link))
+        .when(link.startswith("?"), F.concat(F.regexp_extract(base, r"^[^?#]*", 0), link))
+        .when(link.startswith("#"), base)
+        .otherwise(_relative(base, link))
     )
 
 
 def alias_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): each page and what its canonical link and its refresh name."""
-    links = F.array(
-        F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), HREF, 1),
-        F.regexp_extract(F.regexp_extract(html, REFRESH, 0), TARGET, 1),
+    """(a, b): each page and what its canonical links and its refreshes name."""
+    links = F.concat(
+        F.transform(F.regexp_extract_all(html, F.lit(CANONICAL), F.lit(0)), lambda x: F.regexp_extract(x, HREF, 1)),
+        F.transform(F.regexp_extract_all(html, F.lit(REFRESH), F.lit(0)), lambda x: F.regexp_extract(x, TARGET, 1)),
     )
     found = pages.select(F.col(url).alias("url"), F.explode(links).alias("link")).where("link <> ''")
     return found.select(_node(F.col("url")).alias("a"), _node(_resolved(F.col("url"), F.replace("link", F.lit("&amp;"), F.lit("&")))).alias("b")).where("a <> b")
@@ -133,15 +151,24 @@ def _sql_pattern(p: str) -> str:
 #: Aliases by a recursive union over both directions of the edges.
 SQL = f"""
 WITH RECURSIVE links AS (
-  SELECT url, regexp_extract(regexp_extract(html, {_sql_pattern(CANONICAL)}, 0), {_sql_pattern(HREF)}, 1) AS link FROM pages
+  SELECT url, regexp_extract(unnest(regexp_extract_all(html, {_sql_pattern(CANONICAL)}, 0)), {_sql_pattern(HREF)}, 1) AS link FROM pages
   UNION ALL
-  SELECT url, regexp_extract(regexp_extract(html, {_sql_pattern(REFRESH)}, 0), {_sql_pattern(TARGET)}, 1) FROM pages
+  SELECT url, regexp_extract(unnest(regexp_extract_all(html, {_sql_pattern(REFRESH)}, 0)), {_sql_pattern(TARGET)}, 1) FROM pages
+), parts AS (
+  SELECT url, l, site, string_split(substr(folder, 2) || CASE WHEN folder <> '' THEN '/' ELSE '' END || regexp_extract(l, '^[^?#]*', 0), '/') AS p
+  FROM (SELECT url, replace(link, '&amp;', '&') AS l, regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0) AS site, regexp_extract(url, '^[^:/?#]+://[^/?#]*((?:/[^/?#]*)*)/', 1) AS folder FROM links WHERE link <> '')
 ), resolved AS (
   SELECT regexp_replace(url, '#[\\s\\S]*$', '') AS a, regexp_replace(CASE
-    WHEN contains(l, '://') THEN l
-    WHEN starts_with(l, '//') AND regexp_matches(url, '^[^:/?#]+://') THEN regexp_extract(url, '^([^:/?#]+:)//', 1) || l
-    WHEN starts_with(l, '/') AND regexp_matches(url, '^[^:/?#]+://') THEN regexp_extract(url, '^[^:/?#]+://[^/?#]*', 0) || l END, '#[\\s\\S]*$', '') AS b
-  FROM (SELECT url, replace(link, '&amp;', '&') AS l FROM links WHERE link <> '')
+    WHEN regexp_matches(l, '^[^/?#]*://') THEN l
+    WHEN site = '' OR regexp_matches(l, '{OTHER_SCHEME}') THEN NULL
+    WHEN starts_with(l, '//') THEN regexp_extract(url, '^([^:/?#]+:)//', 1) || l
+    WHEN starts_with(l, '/') THEN site || l
+    WHEN starts_with(l, '?') THEN regexp_extract(url, '^[^?#]*', 0) || l
+    WHEN starts_with(l, '#') THEN url
+    ELSE site || list_reduce(p, lambda acc, x: CASE x WHEN '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN '.' THEN acc ELSE acc || '/' || x END, '')
+      || CASE WHEN p[-1] IN ('.', '..') THEN '/' ELSE '' END || regexp_extract(l, '\\?[\\s\\S]*$', 0)
+    END, '#[\\s\\S]*$', '') AS b
+  FROM parts
 ), edges AS (
   SELECT a, b FROM resolved WHERE a <> b UNION SELECT b, a FROM resolved WHERE a <> b
 ), reach(a, b) AS (
