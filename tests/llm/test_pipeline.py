@@ -83,3 +83,27 @@ def test_stages_take_nulls_and_empty_tables(spark, tables):
     for docs in (odd, odd.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, docs, root).collect()
+
+
+def test_stages_keep_columns_whatever_their_names(spark, tables):
+    root, _, _ = tables
+    names = ["doc_id", "text", "lang", "source", "n_chars", "key", "fp", "row", "kept", "leaks", "severity", "n_words", "top", "best", "h", "prefix", "label", "toxic", "token_ids"]
+    rows = [(k, f"clean words of document number {k} that go on for a while and say nothing much of note {k * 7}", "en", "s", 1, *[f"{n}{k}" for n in names[5:]]) for k in range(20)]
+    docs = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n in ('doc_id', 'n_chars') else 'string'}" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, root)
+        assert out.columns == names, name
+        got = {tuple(r) for r in out.collect()}
+        assert got <= set(rows) and (name != "simhash" or got), name
+    # rows that share an id are documents of their own
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "pq")
+    docs = spark.createDataFrame([(3, a), (5, a), (5, b), (9, b)], "doc_id long, text string")
+    assert sorted(map(tuple, corpus_pipeline.first_copies(spark, docs, root).collect())) == [(3, a), (5, b)]
+
+
+def test_removed_deletes_what_was_written_aside(spark, tmp_path):
+    from tidemark.llm import common
+
+    df = common.written(spark.range(3), "probe")
+    path = df.inputFiles()[0].rsplit("/", 1)[0]
+    assert common.removed(spark, path) and not common.removed(spark, path)

@@ -39,9 +39,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: This process's part of the shared folder.
+RUN = f"tidemark/{uuid.uuid4().hex}"
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{RUN}/{name}-{uuid.uuid4().hex}"
+
+
+def removed(spark: SparkSession, path: str | None = None) -> bool:
+    """Deletes an intermediate result that nothing reads any more; without a path all that this process wrote aside."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path or f"{shared_dir(spark)}/{RUN}")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
