@@ -60,8 +60,15 @@ def plain_instant(rows: Iterable[Row]) -> list[dict]:
 
 
 def plain_range(rows: Iterable[Row]) -> list[dict]:
-    """Of rows as Engine.by_series gives them."""
-    return [{"metric": r.metric, "labels": dict(r.labels or {}), "values": [[p.ts, p.value] for p in r.points]} for r in sorted(rows, key=_key)]
+    """Of rows of samples: a series once, its points in order."""
+    found: list[dict] = []
+    last = None
+    for r in sorted(rows, key=lambda r: (*_key(r), r.ts)):
+        if _key(r) != last:
+            last = _key(r)
+            found.append({"metric": r.metric, "labels": dict(r.labels or {}), "values": []})
+        found[-1]["values"].append([r.ts, r.value])
+    return found
 
 
 def seconds(text: str | float) -> int:
