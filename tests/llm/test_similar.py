@@ -162,3 +162,34 @@ def test_rows_are_chosen_and_not_ids(spark):
     got, names = kept_rows(spark, [(1, a, 1, 2, 3), (2, a + " q", 4, 5, 6)], "doc_id long, text string, key long, fp long, `a.row` long")
     assert got == [(1, a, 1, 2, 3)] and names == ["doc_id", "text", "key", "fp", "a.row"]
     assert kept_rows(spark, [])[0] == []
+
+
+def test_prefixes_by_any_order_lose_no_similar_pair_of_whole_or_cut_sets():
+    rng = np.random.default_rng(2)
+    met = {True: 0, False: 0}
+    for most in (40, 10_000):
+        for _ in range(400):
+            base = np.unique(rng.integers(0, 4000, int(rng.integers(1, 90))))
+            common = np.unique(rng.choice(base, len(base) // 2))
+            order = (common.astype("<u4"), rng.integers(3, 9, len(common)))
+            a, b = (np.unique(np.concatenate([rng.permutation(base)[int(rng.integers(0, 4)) :], rng.integers(0, 4000, int(rng.integers(0, 3)))]))[:most].astype("<u4") for _ in range(2))
+            if similar.similarity_of(a, b, most) >= 0.8:
+                met[len(a) == most] += 1
+                assert set(similar.prefix_of(a, 0.8, order, most).tolist()) & set(similar.prefix_of(b, 0.8, order, most).tolist())
+    assert min(met.values()) > 50
+
+
+def test_a_passage_of_many_short_texts_brings_no_bucket_of_all(spark):
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    texts = [passage + " " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(300)]
+    texts += [t + " more" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = similar.profiles(docs, 5)
+    order = similar.common_shingles(rows)
+    assert len(order[0]) >= 26 and max(order[1]) == 320
+    nodes = similar._with_prefix(rows, 0.8, order)
+    largest = lambda found: max(r["count"] for r in found.selectExpr("explode(prefix) AS h").groupBy("h").count().collect())
+    assert largest(nodes) < 10 < 250 < largest(similar._with_prefix(rows, 0.8, similar.NO_ORDER))
+    got = {r.doc_id: r.component_id for r in similar.similar_documents(docs).collect()}
+    assert all(got[300 + k] == got[k] == k for k in range(20)) and len(set(got.values())) == 300

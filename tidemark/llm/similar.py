@@ -3,7 +3,9 @@
 Edits of a few words move many shingles but few words, so texts of a shingle similarity of 0.8 are about five bits apart
 in a fingerprint of distinct words. Three such fingerprints meet in the covering tables of ``simhash``; texts of at most
 ``SHORT`` distinct words, where one word moves many bits, also meet by a prefix filter of their shingles: of n shingles,
-two sets of similarity s or more share one of the least n - s n + 1 of each by any order (here of their hashes).
+two sets of similarity s or more share one of the first n - s n + 1 of each by any order. Shingles that are common in a
+bounded sample of texts come last in it, so that a passage of many texts doesn't bring them all together; the sample
+decides the order only, and any order loses nothing.
 
 What decides is the similarity of the sets themselves, of 32-bit hashes: exact up to ``KEPT`` distinct shingles, and an
 estimate from the least KEPT hashes beyond (error at 0.8: about 0.013). It is tested where texts meet: a bucket gives a
@@ -37,6 +39,12 @@ VIEWS = ("v0", "v1", "v2")
 KEPT = 1024
 #: Distinct words up to which a text also meets others by the least of its shingles; above, fingerprints propose alone.
 SHORT = 100
+#: Texts, about, whose shingles tell which are common; in how many of them a common one is; how many are kept at most.
+ORDER_TEXTS, COMMON, ORDER_SIZE = 20_000, 3, 32_768
+
+#: Common hashes in ascending order, and in how many texts of the sample each is.
+Order = tuple[np.ndarray, np.ndarray]
+NO_ORDER: Order = (np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64))
 
 
 def bits_of(hashes: np.ndarray) -> int:
@@ -54,20 +62,35 @@ def mixed(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def prefix_of(own: np.ndarray, similarity: float) -> np.ndarray:
-    """The least of distinct hashes in order: sets of that similarity share one of them."""
-    return own[: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
-
-
-def profile(text: str | None, width: int, similarity: float) -> tuple[int, list[int], bytes, np.ndarray]:
-    """(hash of the words, a fingerprint of the distinct words for each view, set of shingles, prefix).
+def prefix_of(own: np.ndarray, similarity: float, order: Order = NO_ORDER, most: int = KEPT) -> np.ndarray:
+    """Keys of a set of hashes, given in ascending order: two sets that are similar by similarity_of share a key.
 
-    The set is the KEPT least distinct 32-bit hashes of shingles, in order. The prefix is empty in texts of more than
-    SHORT distinct words. Fewer words than a shingle has are one shingle; no words have an empty set.
+    They are the first hashes by order, common ones last. Of a set of ``most`` hashes only the least are known, so what
+    may be similar to one has the least hashes as keys too.
+    """
+    n = len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1
+    keys = []
+    if len(own) < most:
+        hashes, counts = order
+        rank = np.zeros(len(own), dtype=np.int64)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
+            rank = np.where(hashes[at] == own, counts[at], 0)
+        keys.append(own[np.lexsort((own, rank))][:n].astype(np.int64))
+    if len(own) >= similarity * most - 1e-9:
+        keys.append(own[:n].astype(np.int64) + (1 << 32))
+    return np.concatenate(keys)
+
+
+def profile(text: str | None, width: int) -> tuple[int, list[int], bytes, bool]:
+    """(hash of the words, a fingerprint of the distinct words for each view, set of shingles, whether it is short).
+
+    The set is the KEPT least distinct 32-bit hashes of shingles, in order. A short text has at most SHORT distinct
+    words. Fewer words than a shingle has are one shingle; no words have an empty set.
     """
     words = (text or "").encode().lower().split()
     digest = xxhash.xxh64_intdigest
-    kept, prefix = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
+    kept = np.zeros(0, dtype="<u4")
     own = np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
     if words:
         n = max(1, len(words) - width + 1)
@@ -76,27 +99,58 @@ def profile(text: str | None, width: int, similarity: float) -> tuple[int, list[
             h = mixed(h + own[k : k + n], k + 1)
         kept = np.unique((h >> np.uint64(32)).astype("<u4"))
         own = np.unique(own)
-        if len(own) <= SHORT:
-            prefix = prefix_of(kept, similarity).astype(np.int64)
-    return signed(digest(b" ".join(words), 7)), [bits_of(mixed(own, v + 50)) for v in range(len(VIEWS))], kept[:KEPT].tobytes(), prefix
+    return signed(digest(b" ".join(words), 7)), [bits_of(mixed(own, v + 50)) for v in range(len(VIEWS))], kept[:KEPT].tobytes(), len(own) <= SHORT
 
 
-def profiles(docs: DataFrame, width: int, similarity: float) -> DataFrame:
-    """docs without text, with fp, v0, v1, v2, kept and prefix of every row."""
+def profiles(docs: DataFrame, width: int) -> DataFrame:
+    """docs without text, with fp, v0, v1, v2, kept and short of every row."""
     rest = [c for c in docs.columns if c != "text"]
-    made = [T.StructField("fp", T.LongType(), False), *(T.StructField(v, T.LongType(), False) for v in VIEWS), T.StructField("kept", T.BinaryType(), False), T.StructField("prefix", T.ArrayType(T.LongType()), False)]
+    made = [*(T.StructField(c, T.LongType(), False) for c in ("fp", *VIEWS)), T.StructField("kept", T.BinaryType(), False), T.StructField("short", T.BooleanType(), False)]
     schema = T.StructType([*(docs.schema[c] for c in rest), *made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [profile(x.as_py(), width, similarity) for x in batch.column(len(rest))]
+            found = [profile(x.as_py(), width) for x in batch.column(len(rest))]
             views = [pa.array([x[1][v] for x in found], pa.int64()) for v in range(len(VIEWS))]
-            more = [pa.array([x[0] for x in found], pa.int64()), *views, pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.list_(pa.int64()))]
+            more = [pa.array([x[0] for x in found], pa.int64()), *views, pa.array([x[2] for x in found], pa.binary()), pa.array([x[3] for x in found], pa.bool_())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], *more], names=schema.names)
 
     return docs.select(*rest, "text").transform(map_in_arrow, run, schema)
 
 
+def sets_of(column: pa.Array) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_buffer(), "<u4") for x in column]
+
+
+def common_shingles(rows: DataFrame) -> Order:
+    """The most common hashes of the sets (fp, kept) of about ORDER_TEXTS texts, chosen by fp, copies counting once."""
+    share = int(min(1.0, ORDER_TEXTS / max(1, rows.count())) * (1 << 40))
+    sample = rows.where(F.pmod(F.xxhash64("fp", F.lit(4)), F.lit(1 << 40)) < share).groupBy("fp").agg(F.first("kept").alias("kept"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hashes, counts = np.unique(np.concatenate(sets_of(batch.column(0))), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.astype(np.int64)), pa.array(counts)], names=["h", "n"])
+
+    told = sample.select("kept").transform(map_in_arrow, run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    found = sorted(told.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "h").limit(ORDER_SIZE).collect())
+    return np.array([r.h for r in found], dtype="<u4"), np.array([r.n for r in found], dtype=np.int64)
+
+
+def _with_prefix(rows: DataFrame, similarity: float, order: Order) -> DataFrame:
+    """(fp, views, prefix) of rows with kept and short; the prefix of a text that isn't short is empty."""
+    none = np.zeros(0, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            *names, kept, short = batch.columns
+            found = [prefix_of(own, similarity, order) if is_short.as_py() else none for own, is_short in zip(sets_of(kept), short, strict=True)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(found, pa.list_(pa.int64()))], names=["fp", *VIEWS, "prefix"])
+
+    return rows.select("fp", *VIEWS, "kept", "short").transform(map_in_arrow, run, f"fp long, {' long, '.join(VIEWS)} long, prefix array<long>")
+
+
 def similarity_of(a: np.ndarray, b: np.ndarray, most: int = KEPT) -> float:
     """The common part of two sets over their union, from their least hashes; 0 for empty ones."""
     ends = [x[-1] for x in (a, b) if len(x) >= most]
@@ -179,14 +233,14 @@ def _in_blocks(members: DataFrame, block: int, salt: int) -> DataFrame:
     return members.withColumn("gid", F.when(blocks == 1, F.col("gid")).otherwise(F.xxhash64("gid", own, F.lit(salt))))
 
 
-def _prefixed(large: DataFrame, similarity: float) -> DataFrame:
+def _prefixed(large: DataFrame, similarity: float, order: Order) -> DataFrame:
     """(gid, fp, top): members (gid, fp, top, kept) of large buckets, dealt by each hash of the prefix of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             gids, fps, tops, kept = (batch.column(k).to_pylist() for k in range(4))
             for gid, fp, top, x in zip(gids, fps, tops, kept, strict=True):
-                own = prefix_of(np.frombuffer(x, "<u4"), similarity).astype(np.uint64)
+                own = prefix_of(np.frombuffer(x, "<u4"), similarity, order).view(np.uint64)
                 subs = mixed(own, gid & 0xFFFFFFFF).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(subs), pa.array([fp] * len(subs), pa.int64()), pa.array([top] * len(subs), pa.int64())], names=["gid", "fp", "top"])
 
@@ -213,10 +267,10 @@ def _with_tops(rows: DataFrame, edges: DataFrame) -> DataFrame:
     return rows.join(tops, "fp", "left").withColumn("top", F.coalesce("top", "fp"))
 
 
-def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, radius: int = 4, block: int = BLOCK) -> DataFrame:
+def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, radius: int = 4, block: int = BLOCK, order: Order = NO_ORDER) -> DataFrame:
     """Edges (a, b) that connect all nodes (fp, views, perhaps prefix) that meet in a bucket and are similar.
 
-    sets (fp, kept) has a row for each node.
+    sets (fp, kept) has a row for each node. order is that of prefixes.
     """
     members = written(_buckets(_met(nodes, radius)), "members")
     known = written(members.select("fp").distinct(), "met")
@@ -228,17 +282,18 @@ def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, radius:
     if large.limit(1).count():
         rest = cut(_apart(_with_tops(large, edges)))
         if rest.limit(1).count():
-            parts = _apart(_prefixed(rest.join(sets, "fp"), similarity))
+            parts = _apart(_prefixed(rest.join(sets, "fp"), similarity, order))
             edges = cut(edges.union(_forests(_pairs_of_blocks(parts, block).join(sets, "fp"), similarity)))
     return edges
 
 
 def _profiled(docs: DataFrame, width: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """(rows, edges): docs (…, text) without text and with fp, and the links of fp."""
-    rows = written(profiles(docs, width, similarity), "profiles")
-    nodes = cut(rows.groupBy("fp").agg(*[F.first(c).alias(c) for c in (*VIEWS, "prefix")]))
+    rows = written(profiles(docs, width), "profiles")
+    order = common_shingles(rows)
+    nodes = cut(_with_prefix(rows, similarity, order).groupBy("fp").agg(*[F.first(c).alias(c) for c in (*VIEWS, "prefix")]))
     sets = rows.groupBy("fp").agg(F.first("kept").alias("kept"))
-    return rows.drop(*VIEWS, "kept", "prefix"), similar_links(nodes, sets, similarity)
+    return rows.drop(*VIEWS, "kept", "short"), similar_links(nodes, sets, similarity, order=order)
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, similarity: float = 0.8) -> DataFrame:
