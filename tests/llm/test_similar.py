@@ -91,7 +91,7 @@ def test_links_equal_all_pairs_of_a_bucket_in_blocks(spark):
     views = [[1 << int(rng.integers(0, 62)) for _ in range(3)] for _ in sets]
     want = groups(brute_components(sets, lambda a, b: likeness(a, b) >= 0.8))
     nodes, kept = nodes_of(spark, sets, views)
-    for block in (16, 1024):
+    for block in (16, 40, 1024):  # ten blocks, four, one
         found = {r.node: r.component for r in components(similar.similar_links(nodes, kept, 0.8, block=block)).collect()}
         assert groups([found.get(k, k) for k in range(150)]) == want
 

@@ -13,8 +13,8 @@ spanning forest of the links that pass, so no link is lost for a nearer pair tha
 
 Shuffles carry no texts. Keys of buckets go first, to be counted; only members of buckets of two or more go again; of
 buckets with the same members (a group of copies meets in many tables) one stays; and only its members' sets are
-fetched. Buckets above ``BLOCK`` are cut into blocks by two deals of their own, which join most of what is alike in work
-in proportion to their size. Parts of such a bucket that are still apart meet by a prefix filter of their sets, which
+fetched. Buckets above ``BLOCK`` are cut into blocks: of at most ``AT_ONCE`` blocks each is compared with each; larger
+ones get two deals of their own, which join most of what is alike in work in proportion to their size. Parts of such a bucket that are still apart meet by a prefix filter of their sets, which
 loses nothing, and where even that leaves more than a block with more than one component, block is compared with block.
 """
 
@@ -39,6 +39,8 @@ VIEWS = ("v0", "v1", "v2")
 KEPT = 1024
 #: Distinct words up to which a text also meets others by the least of its shingles; above, fingerprints propose alone.
 SHORT = 100
+#: Blocks of a bucket up to which all pairs of blocks cost no more rows than two deals and prefixes.
+AT_ONCE = 4
 #: Texts, about, whose shingles tell which are common; in how many of them a common one is; how many are kept at most.
 ORDER_TEXTS, COMMON, ORDER_SIZE = 20_000, 3, 32_768
 
@@ -276,9 +278,12 @@ def similar_links(nodes: DataFrame, sets: DataFrame, similarity: float, radius:
     known = written(members.select("fp").distinct(), "met")
     sets = written(sets.join(known, "fp"), "sets")
     alone = members.withColumn("top", F.col("fp"))
-    deals = _in_blocks(alone, block, 1).select("gid", "fp", "top").union(_in_blocks(alone.where(F.col("n") > block), block, 2).select("gid", "fp", "top"))
+    few, many = alone.where(F.col("n") <= AT_ONCE * block), alone.where(F.col("n") > AT_ONCE * block)
+    deals = _pairs_of_blocks(few, block)
+    for salt in (1, 2):
+        deals = deals.union(_in_blocks(many, block, salt).select("gid", "fp", "top"))
     edges = cut(_forests(deals.join(sets, "fp"), similarity))
-    large = members.where(F.col("n") > block).select("gid", "fp")
+    large = many.select("gid", "fp")
     if large.limit(1).count():
         rest = cut(_apart(_with_tops(large, edges)))
         if rest.limit(1).count():
