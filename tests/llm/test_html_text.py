@@ -135,6 +135,26 @@ def test_stripped_of_article_tags_pages_give_the_article(spark):
     assert sum(scores) / len(scores) >= 0.95 and sum(s >= 0.95 for s in scores) >= 0.95 * len(scores)
 
 
+def test_repeated_notices_without_a_name_leave_declared_content(spark):
+    rng = random.Random(5)
+    notice = "write to the editors of this paper if you have seen the same"
+    rows, want = [], {}
+    for k in range(40):
+        own = [" ".join(f"{rng.choice('bdfgl')}{rng.randrange(10**6)}" for _ in range(n)) for n in (20, 25, 12)]
+        if k in (21, 22, 23):  # copies with another last word
+            own = want[20].removesuffix(" end").split(" | ")
+            own[2] += f" w{k}"
+        rows.append((k, f"http://a.org/{k}", f"<nav>n</nav><article><h1>{notice}</h1><p>{own[0]}</p><div><p>{own[1]}</p></div><div class=x>{notice}</div><section>{own[2]} end</section></article>"))
+        want[k] = " | ".join(own) + " end"
+    whole = " ".join(h.parse(rows[20][2]).text().split())
+    rows.append((40, "http://b.org/1", rows[0][2]))
+    got = {r.page_id: r.text for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in (0, 1, 2, 30, 39):
+        assert got[k] == f"{notice} {want[k].replace(' | ', ' ')}"
+    assert got[20] == whole and got[21].count(notice) == 2 and got[40].count(notice) == 2  # copies, and the only page of a host
+    assert all(want[20].split(" | ")[1] in got[k] for k in (20, 21, 22, 23))
+
+
 def test_the_query_over_a_folder(spark, tmp_path):
     rows = [(1, "http://a.org/1", "<nav>m</nav><article>é 🙂 x</article>", "n"), (None, None, None, None), (2, "", "", ""), (2, "", "", ""), (3, "http://a.org", "<article>" + "long " * 300_000 + "</article>", "")]
     spark.createDataFrame(rows, "page_id long, url string, html string, text string").write.parquet(f"{tmp_path}/pages.parquet")

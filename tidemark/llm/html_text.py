@@ -11,7 +11,10 @@ A copied article repeats too. Pages are distinct if their bodies are, and covere
 to the slot's share over all hosts: a menu's slot repeats on every page, an article's seldom. A page without declared
 content keeps the uncovered tokens of such slots, and the others whole.
 
-Declared content is never taken away for being repeated: copies of an article are still articles.
+Within declared content, too, the array decides what markup leaves open: blocks in elements that say nothing (``LOOSE``)
+lose the covered tokens of such slots, which are notices and adverts without a name. Copies of an article are still
+articles: a page keeps all its declared content if that would take half of it or if half of the rest is covered as well.
+Prose elements right in an article are never taken away for being repeated.
 """
 
 from __future__ import annotations
@@ -59,7 +62,9 @@ COMMENTS = {"comment", "comments", "commentlist", "discussion", "replies", "repl
 RUN = 8
 #: Tokens of a shard, about.
 SHARD = 500_000
-CONTENT, OPEN, ASIDES = 2, 1, 0
+WITHIN, CONTENT, OPEN, ASIDES = 3, 2, 1, 0
+#: Elements that don't say what their text is; in declared content, what is in them is WITHIN.
+LOOSE = {"div", "section", "ul", "ol", "table"}
 #: Share of covered tokens from which a slot is one of boilerplate, and the tokens that its share over all hosts counts as.
 REPEATED, PRIOR = 0.4, 200
 
@@ -72,15 +77,28 @@ class Page:
 
     def text(self) -> str | None:
         """Declared content; None if the page declares none."""
-        found = [x for zone, _, x in self.blocks if zone == CONTENT]
+        found = [x for zone, _, x in self.blocks if zone >= CONTENT]
         return " ".join(found) if found else None
 
     def open(self) -> list[tuple[int, str]]:
         """(slot, text) of the blocks that structure leaves open."""
         return [(slot, x) for zone, slot, x in self.blocks if zone == OPEN]
 
+    def loose(self) -> bool:
+        return any(zone == WITHIN for zone, _, _ in self.blocks)
+
+    def judged(self) -> list[tuple[int, str, bool]]:
+        """(slot, text, whether it stays in any case) of the blocks of which repetition may take some away."""
+        if self.text() is None:
+            return [(slot, x, False) for slot, x in self.open()]
+        return [(slot, x, zone == CONTENT) for zone, slot, x in self.blocks if zone >= CONTENT] if self.loose() else []
+
     def outside(self) -> list[str]:
-        return [x for zone, _, x in self.blocks if zone != CONTENT]
+        return [x for zone, _, x in self.blocks if zone < CONTENT]
+
+    def stream(self) -> list[str]:
+        """The blocks of the suffix array: those outside declared content, and all of a page with loose ones in it."""
+        return [x for _, _, x in self.blocks] if self.loose() else self.outside()
 
 
 def named(attributes: str) -> dict[str, str]:
@@ -193,12 +211,14 @@ def parse(html: str | None) -> Page:
             stack.cut(len(stack.items) - 1)
         _, zone, slot = stack.items[-1]
         if zone != ASIDES:
-            if is_aside(tag, attributes, zone == CONTENT):
+            if is_aside(tag, attributes, zone >= CONTENT):
                 if tag in INLINE:
                     end_block()
                 zone = ASIDES
             elif tag == declared or tag in ("div", "section", "td") and declared != "article" and is_content(attributes, bool(declared)):
                 zone = CONTENT
+            elif zone == CONTENT and tag in LOOSE:
+                zone = WITHIN
         if tag not in INLINE:
             classes = " ".join(sorted(re.findall(r"[a-z]+", named(attributes).get("class", "").lower()))) if "class" in attributes else ""
             slot = zlib.crc32(f"{tag}.{classes}>".encode(), slot)
@@ -247,11 +267,11 @@ def body_of(host: str, page: Page) -> int:
 
 
 def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages (…, host) without html, with page (a hash of the body), text (null if undeclared), tokens outside declared content, and the open blocks and their slots."""
-    made = ("page", "text", "outside", "open", "slots")
+    """pages (…, host) without html, with page (a hash of the body), text (null if undeclared), tokens of the stream, and the blocks to be judged, their slots and whether they are firm."""
+    made = ("page", "text", "outside", "open", "slots", "firm")
     kept = [c for c in pages.columns if c not in (html, *made)]
     strings = T.ArrayType(T.StringType())
-    schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("page", T.LongType()), T.StructField("text", T.StringType()), T.StructField("outside", strings), T.StructField("open", strings), T.StructField("slots", T.ArrayType(T.LongType()))])
+    schema = T.StructType([*(pages.schema[c] for c in kept), T.StructField("page", T.LongType()), T.StructField("text", T.StringType()), T.StructField("outside", strings), T.StructField("open", strings), T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("firm", T.ArrayType(T.BooleanType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -259,9 +279,9 @@ def parsed(pages: DataFrame, html: str = "html") -> DataFrame:
             hosts = batch.column(batch.schema.get_field_index("host")).to_pylist()
             bodies = [body_of(h or "", p) for h, p in zip(hosts, found, strict=True)]
             texts = [p.text() for p in found]
-            outside = [[t for x in p.outside() for t in x.split()] for p in found]
-            left = [[] if t is not None else p.open() for p, t in zip(found, texts, strict=True)]
-            more = [pa.array([[x for _, x in b] for b in left], pa.list_(pa.string())), pa.array([[s for s, _ in b] for b in left], pa.list_(pa.int64()))]
+            outside = [[t for x in p.stream() for t in x.split()] for p in found]
+            left = [p.judged() for p in found]
+            more = [pa.array([[b[k] for b in own] for own in left], pa.list_(t)) for k, t in ((1, pa.string()), (0, pa.int64()), (2, pa.bool_()))]
             arrays = [pa.array(bodies, pa.int64()), pa.array(texts, pa.string()), pa.array(outside, pa.list_(pa.string())), *more]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, *arrays], names=[*kept, *made])
 
@@ -329,21 +349,34 @@ def repeated_slots(rows: DataFrame) -> DataFrame:
     return own.join(every, "slot").where(share >= REPEATED).select("host", "slot")
 
 
+def is_copy(marks: list[np.ndarray], goes: list[bool]) -> bool:
+    """Whether marks, the covered tokens of the blocks of declared content, are an article's own and not those of what goes."""
+    total, gone = sum(map(len, marks)), sum(int(m.sum()) for m, g in zip(marks, goes, strict=True) if g)
+    rest = [m for m, g in zip(marks, goes, strict=True) if not g]
+    return 2 * gone >= total or 2 * sum(int(m.sum()) for m in rest) >= max(1, sum(map(len, rest)))
+
+
 def uncovered(rows: DataFrame) -> DataFrame:
-    """rows (…, open, slots, starts, repeated) with the text of the open blocks, without covered tokens of repeated slots."""
-    kept = [c for c in rows.columns if c not in ("open", "slots", "starts", "repeated", "text")]
+    """rows (…, undeclared, open, slots, firm, starts, repeated) with the text of the open blocks, without covered tokens of repeated slots.
+
+    Firm blocks stay whole, and so does all declared content of a copy.
+    """
+    kept = [c for c in rows.columns if c not in ("undeclared", "open", "slots", "firm", "starts", "repeated", "text")]
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("text", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = []
-            for blocks, slots, starts, repeated in zip(*(batch.column(len(kept) + k).to_pylist() for k in range(4)), strict=True):
-                blocks, gone = blocks or [], set(repeated or [])
-                found = [x if slot not in gone else " ".join(t for t, h in zip(x.split(), held.tolist(), strict=True) if not h) for x, slot, held in zip(blocks, slots or [], covered(blocks, starts or []), strict=True)]
+            for undeclared, blocks, slots, firm, starts, repeated in zip(*(batch.column(len(kept) + k).to_pylist() for k in range(6)), strict=True):
+                blocks, gone, marks = blocks or [], set(repeated or []), covered(blocks or [], starts or [])
+                goes = [slot in gone and not stays for slot, stays in zip(slots or [], firm or [], strict=True)]
+                if not undeclared and is_copy(marks, goes):
+                    goes = [False] * len(goes)
+                found = [" ".join(t for t, h in zip(x.split(), held.tolist(), strict=True) if not h) if g else x for x, g, held in zip(blocks, goes, marks, strict=True)]
                 texts.append(" ".join(x for x in found if x))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
 
-    return rows.select(*kept, "open", "slots", "starts", "repeated").transform(map_in_arrow, run, schema)
+    return rows.select(*kept, "undeclared", "open", "slots", "firm", "starts", "repeated").transform(map_in_arrow, run, schema)
 
 
 def _heads_of(rows: DataFrame) -> DataFrame:
@@ -364,19 +397,19 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     without a host belongs to the host without a name.
     """
     rows = parsed(pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"), F.col(html).alias("html")))
-    # What isn't declared content is small, or all of an undeclared page; kept, so that pages are parsed twice at most.
-    small = written(rows.select("page_id", "url", "host", "page", F.col("text").isNull().alias("undeclared"), "outside", "open", "slots"), "outside-content")
-    undeclared = small.where("undeclared").select("page_id", "url", "host", "page", "open", "slots")
-    once = undeclared.where(F.size("open") > 0).dropDuplicates(["page"])
-    declared = rows.where("text is not null").select("page_id", "url", "text")
+    # What is judged is small, or all of a page with open or loose blocks; kept, so that pages are parsed twice at most.
+    small = written(rows.select("page_id", "url", "host", "page", F.col("text").isNull().alias("undeclared"), "outside", "open", "slots", "firm"), "judged")
+    judged = small.where((F.size("open") > 0) | F.col("undeclared")).select("page_id", "url", "host", "page", "undeclared", "open", "slots", "firm")
+    once = judged.where(F.size("open") > 0).dropDuplicates(["page"])
+    settled = rows.where((F.size("open") == 0) & F.col("text").isNotNull()).select("page_id", "url", "text")
     if not once.limit(1).count():
-        return declared.union(undeclared.select("page_id", "url", F.lit("").alias("text")))
+        return settled.union(judged.select("page_id", "url", F.lit("").alias("text")))
     starts = _heads_of(once).join(repeated_heads(small), ["host", "head"]).groupBy("page").agg(F.collect_list("start").alias("starts"))
     once = written(once.select("host", "page", "open", "slots").join(starts, "page", "left"), "starts")
     gone = once.select("page", "host", F.explode(F.array_distinct("slots")).alias("slot")).join(repeated_slots(once), ["host", "slot"]).groupBy("page").agg(F.collect_list("slot").alias("repeated"))
     known = once.select("page", "starts").join(gone, "page")
-    rest = uncovered(undeclared.drop("host").join(known, "page", "left"))
-    return declared.union(rest.select("page_id", "url", "text"))
+    rest = uncovered(judged.drop("host").join(known, "page", "left"))
+    return settled.union(rest.select("page_id", "url", "text"))
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
