@@ -178,3 +178,29 @@ def test_no_cosine_keeps_a_copy_from_the_checks(spark):
     far = replace(index, latent=-index.latent)
     found = {(d, h[0]) for d, text in docs for h in far.hits(text)}
     assert found <= truth and len(found) >= 0.97 * len(truth)
+
+
+def test_the_basis_is_that_of_the_passages_of_all_documents(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choices(SYLLABLES, k=3)) for _ in range(60)]
+    items = [(k, " ".join(rng.sample(words, 12)), None) for k in range(8)]
+    # more documents than any sample had; half of them, of other hashes, have other words
+    docs = [(d, " ".join(rng.choices(words[:40] if d % 2 else words[20:], k=rng.randint(0, 70)))) for d in range(5000)]
+    index = dc.build(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), items, rank=6)
+    size, seen, rows = len(index.vocabulary), np.zeros(len(index.vocabulary)), []
+    for _, text in docs:
+        ids = [index.vocabulary.get(w, size) for w in dc.words_of(text)]
+        for k in range(0, len(ids), dc.WINDOW):
+            rows.append(np.bincount(ids[k : k + dc.WINDOW], minlength=size + 1)[:size])
+            seen += rows[-1] > 0
+    idf = np.log((1 + len(rows)) / (1 + seen)) + 0.1
+    assert np.allclose(index.weight[:size], idf, rtol=1e-4)
+    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
+    passages, own = unit(np.array(rows) * idf), unit(np.array([np.bincount(x.words, minlength=size) for x in index.items]) * idf)
+    exact = passages.T @ passages + own.T @ own * len(rows) / len(items)
+    basis = index.projection[:size].astype(float)
+    assert np.allclose(basis.T @ basis, np.eye(6), atol=1e-3)
+    best = np.sort(np.linalg.eigvalsh(exact))[-6:].sum()
+    assert np.trace(basis.T @ exact @ basis) >= 0.98 * best
+    got = dc.gram_times(spark.createDataFrame([(k, t) for k, t in docs], "doc_id long, text string").transform(lambda d: dc.packed_passages(d, index.vocabulary)), index.weight[:size], np.arange(size), np.eye(size, dtype=np.float32))
+    assert np.allclose(got, passages.T @ passages, rtol=1e-3, atol=1e-3)

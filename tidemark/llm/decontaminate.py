@@ -1,15 +1,15 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages are windows of ``WINDOW`` words that overlap by half. Their TF-IDF vectors over the words of the benchmark are
-projected on the right singular vectors of a matrix of the benchmark's items and a bounded, documented sample of corpus
-passages (``MAX_DOCS`` documents); the randomised SVD runs its products on the executors. Document frequencies count
-the passages of all documents. Each passage of each whole text is compared in latent space with all items of which
+projected on the right singular vectors of a matrix of the benchmark's items and the passages of all documents, cut
+without overlap; the randomised SVD begins with the subspace of the items and runs its products with the passages on the
+executors. Document frequencies count the same passages. Each passage of each whole text is compared in latent space with all items of which
 enough words for a verdict are near it, a condition that loses nothing; these are checked by the longest common
 subsequence with the item and with its answer, so that paraphrases that keep the order of most words are found and
 chance resemblance is not.
 
-The corpus is read three times for each ``ITEM_BLOCK`` items: for frequencies, for the sample, and for the search. An
-index is broadcast; it has some hundred bytes for each word of its items, and singular vectors of ``BUCKETS`` words at
+The corpus is read twice for each ``ITEM_BLOCK`` items: for the passages, whose known words are kept as numbers in Parquet
+until the index is there, and for the search. An index is broadcast; it has some hundred bytes for each word of its items, and singular vectors of ``BUCKETS`` words at
 most (words beyond share one by hash). Only for items of fewer than ``FEW`` words, which need a cosine, can it matter
 which other items share their block.
 """
@@ -28,8 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, keep_rows, map_in_arrow, table
-from tidemark.llm.features import sampled_rows
+from tidemark.llm.common import keep_rows, map_in_arrow, removed, scratch, table
 
 #: ASCII that isn't a letter or digit parts words; every other character is part of one.
 PARTS_WORDS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -40,9 +39,10 @@ STRETCH = 16
 ITEM_BLOCK = 50_000
 BUCKETS = 1 << 16
 RANK = 64
-#: Bound of the documents whose passages the singular vectors are fitted on; a hash of doc_id chooses them.
-MAX_DOCS = 2000
-PARTS = 8
+#: Times that all passages are multiplied with the basis.
+ROUNDS = 2
+#: Words that a task packs at once, entries of a matrix that it multiplies at once, and rows of the product in a message.
+ROOM, ENTRIES, ROWS = 1 << 20, 1 << 15, 64
 LCS, ANSWER = 0.7, 0.6
 #: Items that a worker keeps unpacked; beyond it forgets all.
 UNPACKED = 20_000
@@ -217,100 +217,140 @@ class Index:
         return [(item_id, cosine, lcs, answer, first) for item_id, (lcs, answer, cosine, first) in sorted(best.items(), key=str)]
 
 
-def passage_frequencies(docs: DataFrame, vocabulary: dict[bytes, int], text: str = "text") -> tuple[np.ndarray, int, int]:
-    """In how many passages (runs of WINDOW words) of all texts each word occurs; the numbers of passages and of texts."""
-    size = len(vocabulary)
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, n, get = np.zeros(size + 2, dtype=np.int64), 0, shared.value.get
-        for batch in batches:
-            texts, k = batch.column(0), 0
-            seen[size + 1] += len(texts)
-            while k < len(texts):
-                keys, room = [], 1_000_000
-                while k < len(texts) and room > 0:
-                    ids = numbers(words_of(texts[k].as_py()), get, size)
-                    known = np.flatnonzero(ids < size)
-                    keys.append((n + known // WINDOW) * size + ids[known])
-                    n += -(-len(ids) // WINDOW)
-                    room -= len(ids)
-                    k += 1
-                seen[:size] += np.bincount(np.unique(np.concatenate(keys)) % size, minlength=size)
-        seen[size] = n
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["word", "n"])
+Matrix = tuple[np.ndarray, np.ndarray, np.ndarray]
+PACKED = "at binary, counts binary, sizes binary, passages long"
 
-    rows = docs.select(text).transform(map_in_arrow, run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    found = np.zeros(size + 2, dtype=np.int64)
-    found[rows["word"].to_numpy()] = rows["n"].to_numpy()
-    return found[:size], int(found[size]), int(found[size + 1])
 
+def packed(parts: list[np.ndarray], rows: list[np.ndarray], size: int, kind: type = np.int32) -> Matrix:
+    """(words, their counts, how many of them each row has): the distinct known words of each row, of word numbers and their rows."""
+    ids, row = np.concatenate([*parts, np.zeros(0, np.int32)]), np.concatenate([*rows, np.zeros(0, np.int64)])
+    known = ids < size
+    keys, counts = np.unique(row[known] * size + ids[known], return_counts=True)
+    owner, at = np.divmod(keys, size)
+    sizes = np.bincount(owner)
+    return at.astype(np.int32), counts.astype(kind), sizes[sizes > 0].astype(np.int32)
 
-def sampled_passages(docs: DataFrame, vocabulary: dict[bytes, int], most: int, there: int) -> DataFrame:
-    """(ids): the known words of each passage of about ``most`` of ``there`` documents at most, in PARTS partitions.
 
-    A hash of id and text chooses, and rows of one hash count once, so neither rows without an id nor those of a hot id
-    or text are in or out together.
-    """
+def packed_passages(docs: DataFrame, vocabulary: dict[bytes, int], text: str = "text") -> DataFrame:
+    """The passages (runs of WINDOW words) of all texts as rows of packed matrices, and the number of all of them."""
     size = len(vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        get = shared.value.get
+
+        def made(parts: list[np.ndarray], rows: list[np.ndarray], n: int) -> pa.RecordBatch:
+            arrays = [pa.array([x.tobytes()], pa.binary()) for x in packed(parts, rows, size, np.uint8)]  # WINDOW is below 256
+            return pa.RecordBatch.from_arrays([*arrays, pa.array([n], pa.int64())], names=["at", "counts", "sizes", "passages"])
+
+        parts, rows, n, room = [], [], 0, ROOM
         for batch in batches:
             for x in batch.column(0):
-                ids = numbers(words_of(x.as_py()), shared.value.get, size)
-                parts = [p[p < size].tobytes() for k in range(0, len(ids), WINDOW) for p in [ids[k : k + WINDOW]]]
-                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.binary())], names=["ids"])
+                ids = numbers(words_of(x.as_py()), get, size)
+                for k in range(0, len(ids), ROOM):  # ROOM is a multiple of WINDOW
+                    parts.append(ids[k : k + ROOM])
+                    rows.append(n + np.arange(len(parts[-1])) // WINDOW)
+                    n, room = int(rows[-1][-1]) + 1, room - len(parts[-1])
+                    if room <= 0:
+                        yield made(parts, rows, n)
+                        parts, rows, n, room = [], [], 0, ROOM
+        if n:
+            yield made(parts, rows, n)
+
+    return docs.select(text).transform(map_in_arrow, run, PACKED)
 
-    chosen = sampled_rows(docs, most, there).select("text")
-    return cut(chosen.transform(map_in_arrow, run, "ids binary").coalesce(PARTS))
 
+def unpacked(batch: pa.RecordBatch) -> Iterator[Matrix]:
+    for at, counts, sizes in zip(*(batch.column(k) for k in range(3)), strict=True):
+        yield np.frombuffer(at.as_buffer(), np.int32), np.frombuffer(counts.as_buffer(), np.uint8), np.frombuffer(sizes.as_buffer(), np.int32)
 
-def singular_vectors(passages: DataFrame, items: list[np.ndarray], idf: np.ndarray, bucket: np.ndarray, rank: int, rounds: int = 3) -> np.ndarray:
-    """(buckets, rank): right singular vectors of the unit TF-IDF vectors of passages and items.
 
-    Subspace iteration: each round multiplies a basis by the Gram matrix, in partial sums of one block a partition.
-    Items count as much in sum as the passages do, or else the sample's common words would crowd theirs out.
+def passage_frequencies(passages: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many passages each word occurs, and the number of passages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size + 1, dtype=np.int64)
+        for batch in batches:
+            seen[size] += sum(batch.column(3).to_pylist())
+            for at, _, _ in unpacked(batch):
+                seen[:size] += np.bincount(at, minlength=size)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(seen[at], pa.int64())], names=["word", "n"])
+
+    rows = passages.transform(map_in_arrow, run, "word int, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    found = np.zeros(size + 1, dtype=np.int64)
+    found[rows["word"].to_numpy()] = rows["n"].to_numpy()
+    return found[:size], int(found[size])
+
+
+def product(matrix: Matrix, idf: np.ndarray, bucket: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
+    """Adds to out the Gram matrix of the unit TF-IDF vectors of the rows, times basis; some ENTRIES at once."""
+    words, counts, sizes = matrix
+    ends = np.cumsum(sizes, dtype=np.int64)
+    first, begin = 0, 0
+    while first < len(sizes):
+        last = max(first + 1, int(np.searchsorted(ends, begin + ENTRIES, "right")))
+        at, n, end = words[begin : ends[last - 1]], sizes[first:last], int(ends[last - 1])
+        starts = ends[first:last] - n - begin
+        v = (counts[begin:end] * idf[at]).astype(np.float32)
+        v /= np.repeat(np.sqrt(np.add.reduceat(v * v, starts)), n)
+        at = bucket[at]
+        inner = np.add.reduceat(basis[at] * v[:, None], starts, axis=0)
+        order = np.argsort(at, kind="stable")
+        own, edges = np.unique(at[order], return_index=True)
+        out[own] += np.add.reduceat(inner[np.repeat(np.arange(len(n)), n)[order]] * v[order, None], edges, axis=0)
+        first, begin = last, end
+
+
+def gram_times(passages: DataFrame, idf: np.ndarray, bucket: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """The Gram matrix of all passages, times basis: a sum of one product a partition, made on the executors in parts."""
+    context = passages.sparkSession.sparkContext
+    shared = context.broadcast((idf, bucket, basis))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, there = np.zeros(shared.value[2].shape), False
+        for batch in batches:
+            for matrix in unpacked(batch):
+                product(matrix, *shared.value, out)
+                there = True
+        blocks = [out[k : k + ROWS].tobytes() for k in range(0, len(out), ROWS)] if there else []
+        for k, x in enumerate(blocks):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x], pa.binary())], names=["k", "block"])
+
+    def total(group: pa.Table) -> pa.Table:
+        blocks = sorted(group["block"].to_pylist())  # sums don't depend on the order of arrival
+        out = sum(np.frombuffer(x) for x in blocks)
+        return pa.table({"k": group["k"][:1], "block": pa.array([out.tobytes()], pa.binary())})
+
+    parts = passages.transform(map_in_arrow, run, "k int, block binary").groupBy("k").applyInArrow(total, "k int, block binary").toArrow()
+    out = np.zeros(basis.shape)
+    for k, x in zip(parts["k"].to_pylist(), parts["block"].to_pylist(), strict=True):
+        out[k * ROWS : (k + 1) * ROWS] = np.frombuffer(x).reshape(-1, basis.shape[1])
+    shared.destroy()
+    return out
+
+
+def singular_vectors(passages: DataFrame, there: int, items: list[np.ndarray], idf: np.ndarray, bucket: np.ndarray, rank: int, rounds: int = ROUNDS) -> np.ndarray:
+    """(buckets, rank): right singular vectors of the unit TF-IDF vectors of all passages, ``there`` of them, and items.
+
+    Subspace iteration: each round multiplies a basis by the Gram matrix; the first basis is that of the items alone.
+    Items count as much in sum as the passages do, or else the corpus' common words would crowd theirs out.
     """
     size = int(bucket.max()) + 1
-    spark = passages.sparkSession
-
-    def product(rows: list[np.ndarray], basis: np.ndarray) -> np.ndarray:
-        out = np.zeros_like(basis)
-        for ids in rows:
-            if len(ids):
-                at, counts = np.unique(ids, return_counts=True)
-                v = (counts * idf[at]).astype(np.float32)
-                v /= np.sqrt(v @ v)
-                at = bucket[at]
-                np.add.at(out, at, v[:, None] * (v @ basis[at]))
-        return out
-
+    own = packed(items, [np.full(len(x), k) for k, x in enumerate(items)], len(idf))
     basis = np.linalg.qr(np.random.default_rng(9).standard_normal((size, min(size, rank + 16))))[0].astype(np.float32)
-    gram = basis
-    for _ in range(rounds):
-        shared = spark.sparkContext.broadcast(basis)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out, n = np.zeros_like(shared.value), 0  # noqa: B023
-            for batch in batches:
-                rows = [np.frombuffer(x.as_py(), dtype=np.int32) for x in batch.column(0)]
-                out, n = out + product(rows, shared.value), n + len(rows)  # noqa: B023
-            yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["block", "n"])
-
-        parts = passages.transform(map_in_arrow, run, "block binary, n long").toArrow().to_pylist()  # PARTS blocks at most
-        there = sum(p["n"] for p in parts)
-        gram = product(items, basis) * np.float32(max(1.0, there / max(1, len(items))))
-        for p in parts:
-            gram += np.frombuffer(p["block"], dtype=np.float32).reshape(basis.shape)
-        left, values, _ = np.linalg.svd(gram, full_matrices=False)
-        basis = left.astype(np.float32)
-        shared.destroy()
+    for k in range(2 + rounds):
+        gram = np.zeros(basis.shape)
+        product(own, idf, bucket, basis, gram)
+        if k >= 2:
+            gram = gram * max(1.0, there / max(1, len(items))) + gram_times(passages, idf, bucket, basis)
+        else:  # some of the random basis is kept, for directions that no item has
+            gram += 1e-3 * basis
+        basis = np.linalg.svd(gram, full_matrices=False)[0].astype(np.float32)
     return basis[:, :rank]
 
 
-def build(docs: DataFrame, items: list[tuple], rank: int = RANK, most: int = MAX_DOCS) -> Index | None:
+def build(docs: DataFrame, items: list[tuple], rank: int = RANK) -> Index | None:
     """An index of items (item_id, text, answer or None); None if no item has a word."""
     split = [(item_id, words_of(text), words_of(answer)) for item_id, text, answer in items]
     split = [x for x in split if x[1]]
@@ -320,14 +360,18 @@ def build(docs: DataFrame, items: list[tuple], rank: int = RANK, most: int = MAX
     number = lambda ws: tuple(vocabulary[w] for w in ws)
     answers = [number(answer or ws[-max(3, len(ws) // 4) :]) for _, ws, answer in split]
     made = Items([item_id for item_id, _, _ in split], [number(ws) for _, ws, _ in split], answers)
-    seen, there, texts = passage_frequencies(docs, vocabulary)
+    spark, path = docs.sparkSession, scratch(docs.sparkSession, "passages")
+    packed_passages(docs, vocabulary).write.option("compression", "zstd").parquet(path)
+    passages = spark.read.schema(PACKED).parquet(path)
+    seen, there = passage_frequencies(passages, len(vocabulary))
     idf = (np.log((1 + there) / (1 + seen)) + 0.1).astype(np.float32)
     if len(vocabulary) <= BUCKETS:
         bucket = np.arange(len(vocabulary))
     else:
         bucket = np.array([xxhash.xxh64_intdigest(w, 5) % BUCKETS for w in vocabulary])
     rows = np.split(made.words, made.ends[1:-1])
-    vectors = singular_vectors(sampled_passages(docs, vocabulary, most, texts), rows, idf, bucket, rank)
+    vectors = singular_vectors(passages, there, rows, idf, bucket, rank)
+    removed(spark, path)
     projection = np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
     row, weight = np.append(bucket, len(vectors)).astype(np.int32), np.append(idf, np.float32(0))
     latent = np.array([weight[ids] @ projection[row[ids]] for ids in rows])
