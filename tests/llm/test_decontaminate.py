@@ -204,3 +204,33 @@ def test_the_basis_is_that_of_the_passages_of_all_documents(spark):
     assert np.trace(basis.T @ exact @ basis) >= 0.98 * best
     got = dc.gram_times(spark.createDataFrame([(k, t) for k, t in docs], "doc_id long, text string").transform(lambda d: dc.packed_passages(d, index.vocabulary)), index.weight[:size], np.arange(size), np.eye(size, dtype=np.float32))
     assert np.allclose(got, passages.T @ passages, rtol=1e-3, atol=1e-3)
+
+
+def test_the_nearest_are_checked_first_and_end_the_search(spark, monkeypatch):
+    docs, items, truth = world(11)
+    index = dc.build(spark.createDataFrame(docs, "doc_id long, text string"), [(k, t, None) for k, t in items])
+    whole = [text for d, text in docs if d % 6 == 0]  # with an item word for word
+    every = lambda ids: list(index.candidates(ids))
+
+    def plain(text):
+        ids = dc.numbers(dc.words_of(text), index.vocabulary.get, len(index.vocabulary))
+        best = {}
+        for w, k, cosine in every(ids):
+            lcs, answer = index.items[k].check(ids.tolist(), w * dc.HALF)
+            if lcs >= dc.LCS and answer >= dc.ANSWER:
+                best[index.items[k].item_id] = max(best.get(index.items[k].item_id, ()), (lcs, answer, cosine, w * dc.HALF))
+        return [(k, x[2], x[0], x[1], x[3]) for k, x in sorted(best.items(), key=str)]
+
+    counts, check = [0], dc.Item.check
+    monkeypatch.setattr(dc.Item, "check", lambda *own: (counts.__setitem__(0, counts[0] + 1), check(*own))[1])
+
+    def checks(run, texts):
+        counts[0] = 0
+        return [run(t) for t in texts], counts[0]
+
+    texts = [text for _, text in docs]
+    (want, most), (got, fewer), (verdicts, _) = (checks(f, texts) for f in (plain, index.hits, index.gives_away))
+    assert got == want and verdicts == [bool(x) for x in want] and fewer < most
+    far = replace(index, latent=-index.latent)
+    (near_first, first), (far_first, last) = checks(index.gives_away, whole), checks(far.gives_away, whole)
+    assert all(near_first) and all(far_first) and first <= 1.2 * len(whole) < last

@@ -3,15 +3,16 @@
 Passages are windows of ``WINDOW`` words that overlap by half. Their TF-IDF vectors over the words of the benchmark are
 projected on the right singular vectors of a matrix of the benchmark's items and the passages of all documents, cut
 without overlap; the randomised SVD begins with the subspace of the items and runs its products with the passages on the
-executors. Document frequencies count the same passages. Each passage of each whole text is compared in latent space with all items of which
-enough words for a verdict are near it, a condition that loses nothing; these are checked by the longest common
-subsequence with the item and with its answer, so that paraphrases that keep the order of most words are found and
-chance resemblance is not.
-
-The corpus is read twice for each ``ITEM_BLOCK`` items: for the passages, whose known words are kept as numbers in Parquet
-until the index is there, and for the search. An index is broadcast; it has some hundred bytes for each word of its items, and singular vectors of ``BUCKETS`` words at
-most (words beyond share one by hash). Only for items of fewer than ``FEW`` words, which need a cosine, can it matter
-which other items share their block.
+executors. Document frequencies count the same passages. Each passage of each whole text is compared in latent space
+with all items of which enough words for a verdict are near it, a condition that loses nothing; these are checked, the
+nearest in latent space first, by the longest common subsequence with the item and with its answer, until nothing better
+can come (in ``clean``: until one is confirmed). So the cosine says what is checked and no leak is lost by it;
+paraphrases that keep the order of most words are found and chance resemblance is not.
+
+The corpus is read twice for each ``ITEM_BLOCK`` items: for the passages, whose known words are kept as numbers in
+Parquet until the index is there, and for the search. An index is broadcast; it has some hundred bytes for each word of
+its items, and singular vectors of ``BUCKETS`` words at most (words beyond share one by hash). Only for items of fewer
+than ``FEW`` words, which need a cosine, can it matter which other items share their block.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
-from itertools import repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ ROOM, ENTRIES, ROWS = 1 << 20, 1 << 15, 64
 LCS, ANSWER = 0.7, 0.6
 #: Items that a worker keeps unpacked; beyond it forgets all.
 UNPACKED = 20_000
+#: Candidates of a text that are ranked at once.
+RANKED = 50_000
 #: Items of fewer words than FEW, which chance alone brings, also need that cosine; of longer ones none is dropped by it.
 COSINE, FEW = 0.5, 8
 HIT = T.StructType([
@@ -203,17 +206,38 @@ class Index:
                 for w, k, cosine in self.near(ids[a:b], chosen):
                     yield first + w, int(chosen[k]), cosine
 
-    def hits(self, text: str | None) -> list[tuple]:
-        """(item_id, cosine, lcs, answer, first_word) of each item that a text gives away, the best place of each."""
-        words = words_of(text)
-        ids = numbers(words, self.vocabulary.get, len(self.vocabulary))
-        best: dict[int, tuple] = {}
-        own = ids.tolist()
-        for w, k, cosine in self.candidates(ids):
+    def ranked(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
+        """The candidates, the nearest first; of a text with more than RANKED so for that many at a time."""
+        rest = self.candidates(ids)
+        while some := list(islice(rest, RANKED)):
+            yield from sorted(some, key=lambda c: -c[2])
+
+    def accepted(self, text: str | None) -> Iterator[tuple[int, tuple]]:
+        """(item_id, (lcs, answer, cosine, first_word)) of what the checks accept, the nearest first.
+
+        Once an item is there word for word, places that are less near can't be better and aren't checked.
+        """
+        ids = numbers(words_of(text), self.vocabulary.get, len(self.vocabulary))
+        own, whole = ids.tolist(), {}
+        for w, k, cosine in self.ranked(ids):
             item = self.items[k]
+            if whole.get(item.item_id, -2.0) > cosine:
+                continue
             lcs, answer = item.check(own, w * HALF)
             if lcs >= LCS and answer >= ANSWER:
-                best[item.item_id] = max(best.get(item.item_id, ()), (lcs, answer, cosine, w * HALF))
+                yield item.item_id, (lcs, answer, cosine, w * HALF)
+                if lcs >= 1 and answer >= 1:
+                    whole[item.item_id] = max(cosine, whole.get(item.item_id, cosine))
+
+    def gives_away(self, text: str | None) -> bool:
+        """Whether a text gives any item away; ends at the first that it does."""
+        return next(self.accepted(text), None) is not None
+
+    def hits(self, text: str | None) -> list[tuple]:
+        """(item_id, cosine, lcs, answer, first_word) of each item that a text gives away, the best place of each."""
+        best: dict[int, tuple] = {}
+        for item_id, place in self.accepted(text):
+            best[item_id] = max(best.get(item_id, ()), place)
         return [(item_id, cosine, lcs, answer, first) for item_id, (lcs, answer, cosine, first) in sorted(best.items(), key=str)]
 
 
@@ -436,5 +460,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in blocks(benchmark):
         if index := build(docs.select("doc_id", "text"), items):
             shared = docs.sparkSession.sparkContext.broadcast(index)
-            rest = keep_rows(rest, "text", lambda shared=shared: lambda texts: [not shared.value.hits(x) for x in texts])
+            rest = keep_rows(rest, "text", lambda shared=shared: lambda texts: [not shared.value.gives_away(x) for x in texts])
     return rest
