@@ -234,3 +234,59 @@ def test_the_nearest_are_checked_first_and_end_the_search(spark, monkeypatch):
     far = replace(index, latent=-index.latent)
     (near_first, first), (far_first, last) = checks(index.gives_away, whole), checks(far.gives_away, whole)
     assert all(near_first) and all(far_first) and first <= 1.2 * len(whole) < last
+
+
+def test_texts_split_together_have_the_words_of_each():
+    rng = random.Random(12)
+    texts = ["", None, " ", " a  b ", "İstanbul ΣΑΣ straße", "a\x00b\x1cc-d", "…", "日本 語 x", "\n\t", "no break"]
+    texts += [rng.choice([" ", ", "]).join(prose(rng, rng.randint(0, 80))) for _ in range(60)]
+    words = sorted({w for t in texts for w in dc.words_of(t)})
+    few, many = words[::2], [*words, *(b"zz%d" % k for k in range(10_000))]  # looked up by Arrow, and by the dictionary
+    for own in (few, many):
+        vocabulary = {w: k for k, w in enumerate(own)}
+        got = list(dc.numbered(iter(texts), vocabulary, dc.keys_of(vocabulary)))
+        assert [x.tolist() for x in got] == [[vocabulary.get(w, len(own)) for w in dc.words_of(t)] for t in texts]
+
+
+def test_products_of_uneven_rows_and_shared_buckets(monkeypatch):
+    rng = np.random.default_rng(13)
+    sizes = np.array([1, 700, 3, 3, 40, 1, 2], np.int32)  # a row beyond ENTRIES and one beyond GATHERED rows at once
+    words = np.concatenate([np.sort(rng.choice(900, n, replace=False)) for n in sizes]).astype(np.int32)
+    counts, idf = rng.integers(1, 5, len(words)).astype(np.uint8), rng.random(900).astype(np.float32) + 0.1
+    bucket, basis = rng.integers(0, 300, 900), rng.standard_normal((300, 7)).astype(np.float32)
+    rows, dense = np.repeat(np.arange(len(sizes)), sizes), np.zeros((len(sizes), 300))
+    v = counts * idf[words]
+    np.add.at(dense, (rows, bucket[words]), v / np.sqrt(np.bincount(rows, v * v))[rows])
+    for entries, gathered in ((1 << 15, 1 << 11), (50, 16)):
+        monkeypatch.setattr(dc, "ENTRIES", entries)
+        monkeypatch.setattr(dc, "GATHERED", gathered)
+        out = np.zeros((300, 7))
+        dc.product((words, counts, sizes), idf, bucket, basis, out)
+        assert np.allclose(out, dense.T @ (dense @ basis), rtol=1e-4, atol=1e-4)
+
+
+def test_few_stretches_without_an_item_are_looked_over_and_none_with_one_is_left_out(spark, monkeypatch):
+    docs, items, truth = world(14)
+    items += [(60, "na na na na na na"), (61, "pe"), (62, " ".join(["ba de fi"] * 12))]  # words that repeat
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    texts = [t for _, t in docs] + ["", None, "pe", "x " * 900 + items[0][1] + " y" * 900, "na " * 400]
+    present, calls = dc.Index.present, [0]
+    monkeypatch.setattr(dc.Index, "present", lambda *own: (calls.__setitem__(0, calls[0] + 1), present(*own))[1])
+    for some in (items[:60], items):
+        index = dc.build(d, [(k, t, None) for k, t in some])
+        every, want = [], 0
+        for text in texts:
+            ids = dc.numbers(dc.words_of(text), index.vocabulary.get, len(index.vocabulary))
+            firsts = range(0, max(1, -(-len(ids) // dc.HALF) - 1), dc.STRETCH)
+            want, full = want + len(firsts), list(index.candidates(ids, firsts))
+            assert list(index.candidates(ids)) == full
+            every.append(sorted({index.items[k].item_id for w, k, _ in full if index.items[k].check(ids.tolist(), w * dc.HALF)[1] >= dc.ANSWER}))
+        for counts in (dc.COUNTS, 1):  # all stretches together, and each by itself
+            monkeypatch.setattr(dc, "COUNTS", counts)
+            calls[0] = 0
+            got = list(index.all_hits(texts))
+            assert [sorted(h[0] for h in x) for x in got] == every
+            assert len(some) > 60 or calls[0] < 0.5 * want
+        monkeypatch.undo()
+        monkeypatch.setattr(dc.Index, "present", lambda *own: (calls.__setitem__(0, calls[0] + 1), present(*own))[1])
+        assert list(index.verdicts(texts)) == [bool(x) for x in every]

@@ -17,13 +17,14 @@ than ``FEW`` words, which need a cosine, can it matter which other items share t
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import cached_property
 from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +45,8 @@ RANK = 64
 ROUNDS = 2
 #: Words that a task packs at once, entries of a matrix that it multiplies at once, and rows of the product in a message.
 ROOM, ENTRIES, ROWS = 1 << 20, 1 << 15, 64
+#: Bytes of texts that are split at once, rows that are gathered at once to be added up, and counts of items kept at once.
+BYTES, GATHERED, COUNTS = 1 << 22, 1 << 11, 1 << 20
 LCS, ANSWER = 0.7, 0.6
 #: Items that a worker keeps unpacked; beyond it forgets all.
 UNPACKED = 20_000
@@ -68,6 +71,39 @@ def numbers(words: list[bytes], get: Callable, unknown: int) -> np.ndarray:
     return np.fromiter(map(get, words, repeat(unknown)), dtype=np.int32, count=len(words))
 
 
+def keys_of(vocabulary: dict[bytes, int]) -> pa.Array:
+    """The words of a vocabulary whose numbers are 0, 1, ... in its order."""
+    return pa.array([w.decode() for w in vocabulary], pa.string())
+
+
+def numbered(texts: Iterable[str | None], vocabulary: dict[bytes, int], keys: pa.Array) -> Iterator[np.ndarray]:
+    """numbers(words_of(x)) of each text; some BYTES of texts are split and looked up at once."""
+
+    def found(some: list[bytes]) -> Iterator[np.ndarray]:
+        ends = np.zeros(len(some) + 1, dtype=np.int32)
+        np.cumsum([len(x) for x in some], out=ends[1:])
+        whole = pa.StringArray.from_buffers(len(some), pa.py_buffer(ends), pa.py_buffer(b"".join(some).translate(PARTS_WORDS)))
+        lists = pc.ascii_split_whitespace(whole)
+        words = lists.values
+        there = pc.binary_length(words).to_numpy() > 0  # a text that begins or ends with a space gives empty words
+        if len(words) < len(keys):  # Arrow makes its hash table of the keys anew each time
+            ids = numbers(words.cast(pa.binary()).to_pylist(), vocabulary.get, len(keys))
+        else:
+            ids = pc.index_in(words, keys).fill_null(len(keys)).to_numpy()
+        ids, edges = ids[there], np.append(0, np.cumsum(there))[lists.offsets.to_numpy()].tolist()
+        return (ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
+
+    some, room = [], BYTES
+    for x in texts:
+        some.append((x or "").lower().encode())
+        room -= len(some[-1])
+        if room <= 0:
+            yield from found(some)
+            some, room = [], BYTES
+    if some:
+        yield from found(some)
+
+
 def places(a: tuple[int, ...]) -> dict[int, int]:
     """Where each number occurs, as bits."""
     found: dict[int, int] = {}
@@ -155,13 +191,38 @@ class Index:
     latent: np.ndarray  # (items, rank), of length 1
     items: Items
 
+    @cached_property
+    def keys(self) -> pa.Array:
+        return keys_of(self.vocabulary)
+
+    @cached_property
+    def held(self) -> tuple[np.ndarray, np.ndarray]:
+        """(words, items): each distinct word of each item, by word."""
+        pairs = np.unique(np.repeat(np.arange(len(self.items), dtype=np.int64), self.items.sizes) + self.items.words.astype(np.int64) * max(1, len(self.items)))
+        return np.divmod(pairs, max(1, len(self.items)))
+
     @cached_property
     def postings(self) -> tuple[np.ndarray, np.ndarray]:
         """(starts, items): the items that hold word w are items[starts[w] : starts[w + 1]]."""
-        pairs = np.unique(np.repeat(np.arange(len(self.items), dtype=np.int64), self.items.sizes) + self.items.words.astype(np.int64) * max(1, len(self.items)))
-        words, owners = np.divmod(pairs, max(1, len(self.items)))
+        words, owners = self.held
         return np.searchsorted(words, np.arange(len(self.vocabulary) + 1)), owners
 
+    @cached_property
+    def rare(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, items, least): postings of the rarest words of each item, and how many of its own each item needs.
+
+        Of its distinct words an item can miss all but ``needed``; so of its rarest ones, that many and half of ``needed``
+        more, this half has to be there.
+        """
+        words, owners = self.held
+        distinct = np.bincount(owners, minlength=len(self.items))
+        least = (self.needed + 1) // 2
+        order = np.lexsort((words, -self.weight[words], owners))
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(distinct) - distinct, distinct)
+        chosen = rank < (distinct - self.needed + least)[owners]
+        return np.searchsorted(words[chosen], np.arange(len(self.vocabulary) + 1)), owners[chosen], least
+
     @cached_property
     def needed(self) -> np.ndarray:
         distinct = np.bincount(self.postings[1], minlength=len(self.items))
@@ -197,29 +258,83 @@ class Index:
             for w, k in np.argwhere(cosines >= self.floor[chosen]).tolist():
                 yield w, k, float(cosines[w, k])
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
-        """(window, item, cosine) of the items whose words are there; each window of ids is looked at."""
-        for first in range(0, max(1, -(-len(ids) // HALF) - 1), STRETCH):
+    def stretches(self, ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, first window) of the stretches with enough rare words for any item, of texts of those sizes in a row.
+
+        Whatever ``present`` finds is in one of them, and most stretches hold too few of the rare words of any item.
+        """
+        many = -(-np.maximum(1, -(-sizes // HALF) - 1) // STRETCH)
+        text = np.repeat(np.arange(len(sizes)), many)
+        first = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * STRETCH
+        starts, owners, least = self.rare
+        if not len(self.items) or least.min() <= 0:  # an item that needs no word may be anywhere
+            return text, first
+        held = np.append(np.diff(starts), 0)
+        at = np.flatnonzero(held[ids])
+        words, begin = ids[at], (np.cumsum(sizes) - sizes)[text]
+        lo = np.searchsorted(at, begin + np.maximum(0, first * HALF - self.margin))
+        hi = np.searchsorted(at, begin + np.minimum(sizes[text], (first + STRETCH + 1) * HALF + self.margin))
+        sums = np.append(0, np.cumsum(held[words]))
+        cost = np.cumsum(sums[hi] - sums[lo] + len(self.items))
+        found, k = [], 0
+        while k < len(text):
+            end = max(k + 1, int(np.searchsorted(cost, (cost[k - 1] if k else 0) + COUNTS, "right")))
+            n = hi[k:end] - lo[k:end]
+            own = words[np.arange(n.sum()) + np.repeat(lo[k:end] - (np.cumsum(n) - n), n)]
+            which, own = np.divmod(np.unique(np.repeat(np.arange(end - k), n) * len(held) + own), len(held))
+            more = held[own]
+            items = owners[np.arange(more.sum()) + np.repeat(starts[own] - (np.cumsum(more) - more), more)]
+            counts = np.bincount(np.repeat(which, more) * len(self.items) + items, minlength=(end - k) * len(self.items))
+            found.append(k + np.flatnonzero((counts.reshape(end - k, -1) >= least).any(axis=1)))
+            k = end
+        chosen = np.concatenate([*found, np.zeros(0, np.int64)])
+        return text[chosen], first[chosen]
+
+    def candidates(self, ids: np.ndarray, firsts: list[int] | None = None) -> Iterator[tuple[int, int, float]]:
+        """(window, item, cosine) of the items whose words are there; firsts are the stretches of ids, if known."""
+        if firsts is None:
+            firsts = self.stretches(ids, np.array([len(ids)]))[1].tolist()
+        for first in firsts:
             a, b = first * HALF, (first + STRETCH + 1) * HALF
             chosen = self.present(ids[max(0, a - self.margin) : b + self.margin])
             if len(chosen):
                 for w, k, cosine in self.near(ids[a:b], chosen):
                     yield first + w, int(chosen[k]), cosine
 
-    def ranked(self, ids: np.ndarray) -> Iterator[tuple[int, int, float]]:
+    def ranked(self, ids: np.ndarray, firsts: list[int]) -> Iterator[tuple[int, int, float]]:
         """The candidates, the nearest first; of a text with more than RANKED so for that many at a time."""
-        rest = self.candidates(ids)
+        rest = self.candidates(ids, firsts)
         while some := list(islice(rest, RANKED)):
             yield from sorted(some, key=lambda c: -c[2])
 
-    def accepted(self, text: str | None) -> Iterator[tuple[int, tuple]]:
+    def searched(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, list[int]]]:
+        """The word numbers of each text, and its stretches that may hold an item; some ROOM words at once."""
+
+        def found(some: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]:
+            sizes = np.array([len(x) for x in some])
+            text, first = self.stretches(np.concatenate(some), sizes)
+            edges = np.searchsorted(text, np.arange(len(some) + 1)).tolist()
+            return ((x, first[a:b].tolist()) for x, a, b in zip(some, edges[:-1], edges[1:], strict=True))
+
+        some, room = [], ROOM
+        for ids in numbered(texts, self.vocabulary, self.keys):
+            some.append(ids)
+            room -= len(ids)
+            if room <= 0:
+                yield from found(some)
+                some, room = [], ROOM
+        if some:
+            yield from found(some)
+
+    def accepted(self, ids: np.ndarray, firsts: list[int]) -> Iterator[tuple[int, tuple]]:
         """(item_id, (lcs, answer, cosine, first_word)) of what the checks accept, the nearest first.
 
         Once an item is there word for word, places that are less near can't be better and aren't checked.
         """
-        ids = numbers(words_of(text), self.vocabulary.get, len(self.vocabulary))
+        if not firsts:
+            return
         own, whole = ids.tolist(), {}
-        for w, k, cosine in self.ranked(ids):
+        for w, k, cosine in self.ranked(ids, firsts):
             item = self.items[k]
             if whole.get(item.item_id, -2.0) > cosine:
                 continue
@@ -229,16 +344,23 @@ class Index:
                 if lcs >= 1 and answer >= 1:
                     whole[item.item_id] = max(cosine, whole.get(item.item_id, cosine))
 
+    def verdicts(self, texts: Iterable[str | None]) -> Iterator[bool]:
+        """Whether each text gives any item away; the search of a text ends at the first that it does."""
+        return (next(self.accepted(*x), None) is not None for x in self.searched(texts))
+
     def gives_away(self, text: str | None) -> bool:
-        """Whether a text gives any item away; ends at the first that it does."""
-        return next(self.accepted(text), None) is not None
+        return next(self.verdicts([text]))
+
+    def all_hits(self, texts: Iterable[str | None]) -> Iterator[list[tuple]]:
+        """(item_id, cosine, lcs, answer, first_word) of each item that each text gives away, the best place of each."""
+        for ids, firsts in self.searched(texts):
+            best: dict[int, tuple] = {}
+            for item_id, place in self.accepted(ids, firsts):
+                best[item_id] = max(best.get(item_id, ()), place)
+            yield [(item_id, cosine, lcs, answer, first) for item_id, (lcs, answer, cosine, first) in sorted(best.items(), key=str)]
 
     def hits(self, text: str | None) -> list[tuple]:
-        """(item_id, cosine, lcs, answer, first_word) of each item that a text gives away, the best place of each."""
-        best: dict[int, tuple] = {}
-        for item_id, place in self.accepted(text):
-            best[item_id] = max(best.get(item_id, ()), place)
-        return [(item_id, cosine, lcs, answer, first) for item_id, (lcs, answer, cosine, first) in sorted(best.items(), key=str)]
+        return next(self.all_hits([text]))
 
 
 Matrix = tuple[np.ndarray, np.ndarray, np.ndarray]
@@ -261,7 +383,7 @@ def packed_passages(docs: DataFrame, vocabulary: dict[bytes, int], text: str = "
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = shared.value.get
+        keys = keys_of(shared.value)
 
         def made(parts: list[np.ndarray], rows: list[np.ndarray], n: int) -> pa.RecordBatch:
             arrays = [pa.array([x.tobytes()], pa.binary()) for x in packed(parts, rows, size, np.uint8)]  # WINDOW is below 256
@@ -269,8 +391,7 @@ def packed_passages(docs: DataFrame, vocabulary: dict[bytes, int], text: str = "
 
         parts, rows, n, room = [], [], 0, ROOM
         for batch in batches:
-            for x in batch.column(0):
-                ids = numbers(words_of(x.as_py()), get, size)
+            for ids in numbered((x.as_py() for x in batch.column(0)), shared.value, keys):
                 for k in range(0, len(ids), ROOM):  # ROOM is a multiple of WINDOW
                     parts.append(ids[k : k + ROOM])
                     rows.append(n + np.arange(len(parts[-1])) // WINDOW)
@@ -307,6 +428,24 @@ def passage_frequencies(passages: DataFrame, size: int) -> tuple[np.ndarray, int
     return found[:size], int(found[size])
 
 
+def run_sums(rows: np.ndarray, at: np.ndarray, v: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of v * rows[at] over each run of entries, of which starts[k] is the first and sizes[k] the number.
+
+    Runs of the same size are multiplied together, some GATHERED rows at once, so that these stay in a core's cache.
+    """
+    out = np.empty((len(sizes), rows.shape[1]), dtype=np.float32)
+    order = np.argsort(sizes, kind="stable")
+    edges = [*np.flatnonzero(np.diff(sizes[order], prepend=-1)).tolist(), len(sizes)]
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        n = int(sizes[order[a]])
+        step = max(1, GATHERED // n)
+        for k in range(a, b, step):
+            own = order[k : min(k + step, b)]
+            cells = starts[own][:, None] + np.arange(n)
+            out[own] = np.matmul(v[cells][:, None, :], rows.take(at[cells], axis=0))[:, 0]
+    return out
+
+
 def product(matrix: Matrix, idf: np.ndarray, bucket: np.ndarray, basis: np.ndarray, out: np.ndarray) -> None:
     """Adds to out the Gram matrix of the unit TF-IDF vectors of the rows, times basis; some ENTRIES at once."""
     words, counts, sizes = matrix
@@ -319,10 +458,10 @@ def product(matrix: Matrix, idf: np.ndarray, bucket: np.ndarray, basis: np.ndarr
         v = (counts[begin:end] * idf[at]).astype(np.float32)
         v /= np.repeat(np.sqrt(np.add.reduceat(v * v, starts)), n)
         at = bucket[at]
-        inner = np.add.reduceat(basis[at] * v[:, None], starts, axis=0)
-        order = np.argsort(at, kind="stable")
-        own, edges = np.unique(at[order], return_index=True)
-        out[own] += np.add.reduceat(inner[np.repeat(np.arange(len(n)), n)[order]] * v[order, None], edges, axis=0)
+        inner = run_sums(basis, at, v, starts, n)
+        order = np.argsort(at.astype(np.min_scalar_type(len(out))), kind="stable")
+        own, edges, runs = np.unique(at[order], return_index=True, return_counts=True)
+        out[own] += run_sums(inner, np.repeat(np.arange(len(n)), n)[order], v[order], edges, runs)
         first, begin = last, end
 
 
@@ -413,7 +552,7 @@ def annotate(docs: DataFrame, index: Index, text: str = "text", out: str = "leak
         own, names = shared.value, HIT.names
         kind = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64()), ("answer", pa.float64()), ("first_word", pa.int32())]))
         for batch in batches:
-            found = [[dict(zip(names, h, strict=True)) for h in own.hits(x.as_py())] for x in batch.column(batch.schema.get_field_index(text))]
+            found = [[dict(zip(names, h, strict=True)) for h in hits] for hits in own.all_hits(x.as_py() for x in batch.column(batch.schema.get_field_index(text)))]
             yield pa.RecordBatch.from_arrays([*batch.select(kept).columns, pa.array(found, kind)], names=[*kept, out])
 
     return docs.select(*kept, text).transform(map_in_arrow, run, schema)
@@ -460,5 +599,5 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for items in blocks(benchmark):
         if index := build(docs.select("doc_id", "text"), items):
             shared = docs.sparkSession.sparkContext.broadcast(index)
-            rest = keep_rows(rest, "text", lambda shared=shared: lambda texts: [not shared.value.gives_away(x) for x in texts])
+            rest = keep_rows(rest, "text", lambda shared=shared: lambda texts: [not x for x in shared.value.verdicts(texts)])
     return rest
