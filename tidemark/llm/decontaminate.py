@@ -85,12 +85,13 @@ def numbered(texts: Iterable[str | None], vocabulary: dict[bytes, int], keys: pa
         whole = pa.StringArray.from_buffers(len(some), pa.py_buffer(ends), pa.py_buffer(b"".join(some).translate(PARTS_WORDS)))
         lists = pc.ascii_split_whitespace(whole)
         words = lists.values
-        there = pc.binary_length(words).to_numpy() > 0  # a text that begins or ends with a space gives empty words
+        empty = np.flatnonzero(pc.binary_length(words).to_numpy() == 0)  # where a text begins or ends with a space
         if len(words) < len(keys):  # Arrow makes its hash table of the keys anew each time
             ids = numbers(words.cast(pa.binary()).to_pylist(), vocabulary.get, len(keys))
         else:
             ids = pc.index_in(words, keys).fill_null(len(keys)).to_numpy()
-        ids, edges = ids[there], np.append(0, np.cumsum(there))[lists.offsets.to_numpy()].tolist()
+        edges = lists.offsets.to_numpy()
+        ids, edges = np.delete(ids, empty), (edges - np.searchsorted(empty, edges)).tolist()
         return (ids[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True))
 
     some, room = [], BYTES
@@ -270,7 +271,7 @@ class Index:
         if not len(self.items) or least.min() <= 0:  # an item that needs no word may be anywhere
             return text, first
         held = np.append(np.diff(starts), 0)
-        at = np.flatnonzero(held[ids])
+        at = np.flatnonzero((held > 0)[ids])
         words, begin = ids[at], (np.cumsum(sizes) - sizes)[text]
         lo = np.searchsorted(at, begin + np.maximum(0, first * HALF - self.margin))
         hi = np.searchsorted(at, begin + np.minimum(sizes[text], (first + STRETCH + 1) * HALF + self.margin))
@@ -312,7 +313,7 @@ class Index:
 
         def found(some: list[np.ndarray]) -> Iterator[tuple[np.ndarray, list[int]]]:
             sizes = np.array([len(x) for x in some])
-            text, first = self.stretches(np.concatenate(some), sizes)
+            text, first = self.stretches(np.concatenate(some) if len(some) > 1 else some[0], sizes)
             edges = np.searchsorted(text, np.arange(len(some) + 1)).tolist()
             return ((x, first[a:b].tolist()) for x, a, b in zip(some, edges[:-1], edges[1:], strict=True))
 
