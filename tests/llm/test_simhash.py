@@ -5,6 +5,7 @@ import xxhash
 
 from tidemark.llm import simhash
 from tidemark.llm.components import components
+from tidemark.llm.similar import first_of_each
 
 BREAK = " \t\n\r\x0b\x0c"
 
@@ -113,3 +114,19 @@ def test_the_query_over_a_folder(spark, tmp_path):
             least[t] = min(least.get(t, r[0]), r[0])
     want = sorted((str(r[0]), f"{p:016x}", least.get(t)) for r, p, t in zip(rows, prints, tops, strict=True))
     assert sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in got) == want
+
+
+def test_nothing_is_broadcast(spark, tmp_path):
+    rows = [(k, t, "x", "y") for k, t in enumerate(corpus())]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsList().size()
+    assert simhash.op3_simhash(spark, str(tmp_path)).count() == len(rows)
+    assert first_of_each(spark.read.parquet(f"{tmp_path}/documents.parquet")).count() < len(rows)
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    assert runs.size() > before
+    graphs = [store.planGraph(runs.apply(k).executionId()).allNodes() for k in range(before, runs.size())]
+    names = [g.apply(k).name() for g in graphs for k in range(g.size())]
+    assert "SortMergeJoin" in names
+    assert not [n for n in names if "Broadcast" in n]

@@ -67,6 +67,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that shuffles and sorts both sides, whatever Spark takes their sizes for.
+
+    Rows that an explode makes aren't in Spark's estimate, nor what Parquet packs: a table of hundreds of MB seems to be
+    under the limit of a broadcast, which the driver holds as a whole.
+    """
+    return df.hint("merge")
+
+
 #: Rows of an Arrow batch, at most. A text may have megabytes and a bucket a thousand members, and a batch is held twice.
 BATCH_ROWS = 500
 

@@ -1,8 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star rounds.
 
-Every step is a join or a map-side combined aggregation over edges; nothing is collected but one count and checksum a
-round. The smallest neighbour of each node is checkpointed before the join, so both join sides are plain shuffles and
-adaptive execution can split the edges of a hub.
+Every step is a join or a map-side combined aggregation over edges; nothing is broadcast, and nothing collected but one
+count and checksum a round. The smallest neighbour of each node is checkpointed before the join, so both join sides are
+plain shuffles and adaptive execution can split the edges of a hub.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut
+from tidemark.llm.common import cut, shuffled
 
 
 def _both(edges: DataFrame) -> DataFrame:
@@ -20,14 +20,14 @@ def _both(edges: DataFrame) -> DataFrame:
 def _large_star(edges: DataFrame) -> DataFrame:
     both = _both(edges)
     least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-    out = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    out = both.where("b > a").join(shuffled(least), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return cut(out.where("a <> b").distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     least = cut(down.groupBy("a").agg(F.min("b").alias("m")))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    moved = down.join(shuffled(least), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return cut(moved.union(least.select("a", F.col("m").alias("b"))).distinct())
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.common import cut, map_in_arrow, table
+from tidemark.llm.common import cut, map_in_arrow, shuffled, table
 from tidemark.llm.components import components
 
 BITS = 64
@@ -121,7 +121,7 @@ def _groups(dealt: DataFrame, counts: DataFrame, block: int, item: Column) -> Da
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda d: F.least(own, d) * F.col("blocks") + F.greatest(own, d))
     return (
-        dealt.join(large, ["t", "key"])
+        dealt.join(shuffled(large), ["t", "key"])
         .withColumn("pair", F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(met)))
         .groupBy("t", "key", "pair")
         .agg(F.collect_list(item).alias("items"))
@@ -144,11 +144,11 @@ def classes(rows: DataFrame, edges: DataFrame) -> DataFrame:
     both shuffled, so that adaptive execution splits its rows.
     """
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    linked = cut(nodes.join(components(edges).withColumnRenamed("node", "fp"), "fp"))
+    linked = cut(nodes.join(shuffled(components(edges).withColumnRenamed("node", "fp")), "fp"))
     tops = linked.groupBy("component").agg(F.min("least").alias("top"))
-    linked = cut(linked.join(cut(tops), "component").select("fp", "top"))
-    found = cut(nodes.join(linked, "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")))
-    return rows.join(found, "fp")
+    linked = cut(linked.join(shuffled(cut(tops)), "component").select("fp", "top"))
+    found = cut(nodes.join(shuffled(linked), "fp", "left").select("fp", F.coalesce("top", "least").alias("component_id")))
+    return rows.join(shuffled(found), "fp")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4) -> DataFrame:
