@@ -6,10 +6,11 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.plans import render
+from tidemark.plans import catalog, render
 from tidemark.plans.engine import Engine
 from tidemark.sources import ingest
 from tidemark.sources.model import SCHEMA
+from tidemark.sources.snappy import Snappy, TaskSnappy
 from tidemark.sources.store import DAY, SampleStore, TooManyBatches, TooManySeries, upserted
 
 
@@ -246,3 +247,33 @@ def test_wire_formats(spark):
             render.seconds(bad)
     with pytest.raises(ValueError):
         render.step("0")
+
+
+def test_remote_writes_are_decoded_in_tasks(spark, tmp_path, monkeypatch):
+    events = spark.range(12_001).select(F.col("id").alias("event_id"), F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, id)").alias("ts"), F.col("id").alias("user_id"), F.lit("ü").alias("event_type"), (F.col("id") / 4).alias("value"))
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    for name in ("toLocalIterator", "collect", "toPandas", "toArrow", "foreach"):
+        monkeypatch.setattr(type(events), name, None)
+    found = catalog.remote_write_snappy(spark, str(tmp_path))
+    monkeypatch.undo()
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    want = [("ü", str(k), len(range(k, 12_001, 4)), sum(range(k, 12_001, 4)) / 4) for k in range(4)]
+    assert sorted(map(tuple, found.collect())) == want
+    events.limit(0).write.parquet(f"{tmp_path}/none/events.parquet")
+    assert catalog.remote_write_snappy(spark, f"{tmp_path}/none").collect() == []
+
+
+def test_snappy_of_tasks(spark):
+    own, jvm = TaskSnappy(), Snappy(spark)
+    for data in (b"", b"m", b"some" * 50_000, bytes(range(256))):
+        assert own.unpack(jvm.pack(data)) == own.unpack(own.pack(data)) == jvm.unpack(own.pack(data)) == data
+    packed = own.pack(b"some" * 1000)
+    for bad in (b"", b"\xff" * 9, packed[:-3], b"\x05" + packed[2:], b"\xff\xff\xff\xff\x0f" + packed, b"no block"):
+        for codec in (own, jvm):
+            with pytest.raises(ValueError):
+                codec.unpack(bad)
+
+
+def test_bodies_of_remote_writes():
+    samples = [("m", (("a", "ü"),), 5, 1.5), ("m", (("a", "ü"),), -7, math.inf), ("n", (), 9, 0.0)]
+    assert ingest.parse_remote_write(ingest.remote_write_body(samples)) == [(m, dict(labels) or None, ts, v) for m, labels, ts, v in samples]

@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
-from struct import pack
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +20,8 @@ from tidemark.functions.selector import parse_series
 from tidemark.operators.anomaly import Settings, detect, filtered
 from tidemark.plans.engine import DAY, Config, Engine, WindowTooLong
 from tidemark.sources.adapters import FrameSource, events_source, lineitem_source
-from tidemark.sources.ingest import WRITE, _field, decode, influx_lines
-from tidemark.sources.snappy import Snappy
+from tidemark.sources.ingest import WRITE, decode, influx_lines, remote_write_body
+from tidemark.sources.snappy import TaskSnappy
 from tidemark.sources.store import SampleStore, TooManySeries
 
 HOUR = 3600 * 1000
@@ -343,26 +343,35 @@ def cap_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def remote_write_snappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """events as Snappy remote-write messages of some thousand samples each, decoded again: points and totals a series."""
-    snappy, total = Snappy(spark), {}
-    bodies: list[tuple[str, str, int, float]] = []
-
-    def flush() -> None:
-        message = b"".join(_field(1, 2, _field(1, 2, _field(1, 2, b"__name__") + _field(2, 2, m.encode())) + _field(1, 2, _field(1, 2, b"shard") + _field(2, 2, s.encode())) + _field(2, 2, _field(1, 1, pack("<d", v)) + _field(2, 0, t))) for m, s, t, v in bodies)
-        for metric, labels, _, value in decode(snappy.pack(message), "application/x-protobuf", "snappy", snappy.unpack):
-            own = total.setdefault((metric, labels["shard"]), [0, 0.0])
-            own[0], own[1] = own[0] + 1, own[1] + value
-        bodies.clear()
-
-    rows = events_source(spark, sf_dir).all().frame.select("metric", "l_shard", "ts", "value")
-    for r in rows.toLocalIterator():
-        bodies.append(tuple(r))
-        if len(bodies) == 5000:
+    """events as Snappy remote-write messages of some thousand samples each, decoded again: points and totals a series.
+
+    Messages are made and decoded in the tasks, from rows that are dealt out evenly however few row groups the files
+    have; a task gives one row a series.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        snappy, total = TaskSnappy(), {}
+        bodies: list[tuple[str, tuple[tuple[str, str], ...], int, float]] = []
+
+        def flush() -> None:
+            for metric, labels, _, value in decode(snappy.pack(remote_write_body(bodies)), "application/x-protobuf", "snappy", snappy.unpack):
+                own = total.setdefault((metric, labels["shard"]), [0, 0.0])
+                own[0], own[1] = own[0] + 1, own[1] + value
+            bodies.clear()
+
+        for batch in batches:
+            for m, s, t, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                bodies.append((m, (("shard", s),), t, v))
+                if len(bodies) == 5000:
+                    flush()
+        if bodies:
             flush()
-    if bodies:
-        flush()
-    made = spark.createDataFrame([(*k, *v) for k, v in total.items()], "metric string, shard string, points long, total double")
-    return made.withColumn("total", rounded(F.col("total")))
+        rows = [(*k, *v) for k, v in total.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.float64()))], names=["metric", "shard", "points", "total"])
+
+    rows = events_source(spark, sf_dir).all().frame.repartition("ingest_seq", "ts").select("metric", "l_shard", "ts", "value")
+    made = rows.mapInArrow(run, "metric string, shard string, points long, total double")
+    return made.groupBy("metric", "shard").agg(F.sum("points").alias("points"), rounded(F.sum("total")).alias("total"))
 
 
 def remote(*matchers: Matcher) -> Query:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import json
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,6 +147,16 @@ def _field(number: int, kind: int, value: bytes | int) -> bytes:
     return head + (varint(len(value)) if kind == 2 else b"") + value
 
 
+def remote_write_body(samples: Iterable[tuple[str, tuple[tuple[str, str], ...], int, float]]) -> bytes:
+    """A remote-write message with a series for each sample (metric, other labels, ts, value)."""
+
+    @cache
+    def named(metric: str, labels: tuple[tuple[str, str], ...]) -> bytes:
+        return b"".join(_field(1, 2, _field(1, 2, k.encode()) + _field(2, 2, v.encode())) for k, v in ((NAME, metric), *labels))
+
+    return b"".join(_field(1, 2, named(metric, labels) + _field(2, 2, _field(1, 1, struct.pack("<d", v)) + _field(2, 0, t))) for metric, labels, t, v in samples)
+
+
 def remote_read_answer(results: list[list[tuple[tuple[tuple[str, str], ...], list[tuple[int, float]]]]]) -> bytes:
     """A remote-read answer: for each query its series, each as sorted labels and (ts, value) in order."""
     out = b""
